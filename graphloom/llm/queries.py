@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_counts, tokens
+from . import bitsliced, language, packing, secrets, simhash, token_counts, tokens
 from .common import read_table
 
 
@@ -14,6 +14,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), capacity=2048, eos=1)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_inner_products(read_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, holdout=(4, 2)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4))
 
@@ -23,8 +37,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_secrets, op5_language, op7_simhash, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": bitsliced.ORACLE}
