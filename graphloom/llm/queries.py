@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, language, packing, secrets, simhash, token_counts, tokens
+from . import bitsliced, language, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, tokens
 from .common import read_table
 
 
@@ -23,21 +23,34 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs, holdout=(4, 2)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(read_table(spark, sf_dir, "documents")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its text without later repeated runs of lines, and how many lines it had and lost."""
+    return line_dedup.digest(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), run=50, gram=25))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), limit=512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_secrets, op5_language, op7_simhash, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_secrets, op4_mixing, op5_language, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
