@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, language, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, tokens
+from . import bitsliced, brown_lm, language, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, tokens
 from .common import read_table
 
 
@@ -49,8 +49,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), limit=512)
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(read_table(spark, sf_dir, "documents"), units=1024, classes=64, holdout=(10, 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_secrets, op4_mixing, op5_language, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_secrets, op4_mixing, op5_language, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts, op10_brown_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
