@@ -60,8 +60,11 @@ def clipped(text: Column | str, most: int) -> Column:
     t = _c(text)
     astral = t.rlike(r"[\x{10000}-\x{10FFFF}]")
     short = F.concat(F.substring(t, 1, most - 1), F.lit("…"))
-    # astral characters take two units: cut the encoded text instead
-    cut = F.concat(F.decode(F.substring(F.encode(t, "UTF-16BE"), 1, 2 * (most - 1)), "UTF-16BE"), F.lit("…"))
+    # astral characters take two units: cut the encoded text, and leave no half of one
+    head = F.substring(F.encode(t, "UTF-16BE"), 1, 2 * (most - 1))
+    half = F.substring(F.hex(head), -4, 2).between("D8", "DB")
+    whole = F.when(half, F.substring(head, 1, 2 * (most - 2))).otherwise(head)
+    cut = F.concat(F.decode(whole, "UTF-16BE"), F.lit("…"))
     return F.when(utf16_length(t) <= most, t).when(astral, cut).otherwise(short)
 
 

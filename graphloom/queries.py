@@ -67,9 +67,9 @@ def _search(query: str, kind: str | None = None, limit: int = 50) -> str:
     )
 
 
-@_query(_search("EEN"))
+@_query(_search("WIDGET_2"))
 def search_substring(g):
-    return lookup.search_symbols(g, "EEN")
+    return lookup.search_symbols(g, "WIDGET_2")
 
 
 @_query(_search("re", "method", 500))
@@ -288,6 +288,11 @@ def importers_by_module(g):
     return traverse.import_edges(g).groupBy("basename").agg(F.count("*").alias("importers"))
 
 
+@_query(oracle(["cg_files"], "SELECT path FROM cg_files WHERE path = 'nothing'"))
+def find_importers_of_nothing(g):
+    return traverse.find_importers(g, "")
+
+
 def _changed(g) -> DataFrame:
     return g.files.where("file_id % 50 = 1").select("path")
 
@@ -337,15 +342,15 @@ def import_bfs(g):
 
 
 _SEEDS = """scored AS (
-  SELECT d.*, (CASE WHEN contains(lower(name), 'green') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'lace') THEN 1 ELSE 0 END) AS held,
-         lower(name) IN ('green', 'lace') AS exact, coalesce((SELECT count(*) FROM cg_refs r WHERE r.name = d.name AND r.kind IN ('call', 'method')), 0) AS sites
+  SELECT d.*, (CASE WHEN contains(lower(name), 'red') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'late') THEN 1 ELSE 0 END) AS held,
+         lower(name) IN ('red', 'late') AS exact, coalesce((SELECT count(*) FROM cg_refs r WHERE r.name = d.name AND r.kind IN ('call', 'method')), 0) AS sites
   FROM defs d),
 seeds AS (SELECT * FROM scored WHERE held > 0 ORDER BY held DESC, exact DESC, sites DESC, name, path, start_row, symbol_id LIMIT 15)"""
 
 
 @_query(oracle(["defs", "cg_refs"], f"SELECT {SYM}, CAST(held AS INT) AS held, CAST(sites AS BIGINT) AS sites FROM seeds", _SEEDS))
 def context_seeds(g):
-    return ctx.seeds(g, "the green, lace!")
+    return ctx.seeds(g, "the red, late!")
 
 
 @_query(
@@ -358,7 +363,7 @@ def context_seeds(g):
     )
 )
 def context_related(g):
-    return ctx.related(g, cut(ctx.seeds(g, "green lace"), "seeds"))
+    return ctx.related(g, cut(ctx.seeds(g, "red late"), "seeds"))
 
 
 @_query(oracle(["cg_files", "cg_symbols", "cg_refs"], "SELECT (SELECT count(*) FROM cg_files) AS files, (SELECT count(*) FROM cg_symbols) AS symbols, (SELECT count(*) FROM cg_refs) AS refs"))
