@@ -193,13 +193,15 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, text) -> doc_id, tx, fp, component_id: fingerprints at RADIUS or fewer differing bits are linked.
+    """(doc_id, text) -> doc_id, tx, fp, root, component_id: fingerprints at RADIUS or fewer differing bits are linked.
 
     Every row of docs is returned. A null text is empty; texts without a word
     have fingerprint zero and are linked like any other; equal fingerprints
     are one node, so copies never meet in pairs; component_id is the smallest
-    doc_id that links lead to (null only if all those are null); tx is a hash
-    of the text. Further columns are not read, and no rows give no rows.
+    doc_id that links lead to (null only if all those are null); root is one of
+    the component's fingerprints and tells components apart where an id occurs
+    in several; tx is a hash of the text. Further columns are not read, and no
+    rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("tx"))
     one = materialize(rows.mapInArrow(_fingerprints(shingle), "doc_id long, tx long, fp long"), "fingerprints")
@@ -207,15 +209,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     roots = fingerprint_components(nodes.select("fp"))
     of = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = materialize(of.join(least, "root").select("fp", "component_id"), "components")
-    return one.join(known, "fp").select("doc_id", "tx", "fp", "component_id")
+    known = materialize(of.join(least, "root").select("fp", "root", "component_id"), "components")
+    return one.join(known, "fp").select("doc_id", "tx", "fp", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The rows of docs, one of each component: that of the smallest doc_id, null last; of rows that share it, one of the smallest text hash."""
     found = materialize(near_duplicates(docs, shingle), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")).alias("r")
-    keep = found.groupBy("fp", "component_id").agg(first).groupBy("component_id").agg(F.min("r").alias("r"))
+    keep = found.groupBy("fp", "root").agg(first).groupBy("root").agg(F.min("r").alias("r"))
     keep = keep.select(F.col("r.doc_id").alias("__lg_id"), F.col("r.tx").alias("__lg_tx"))
     repeated = not found.groupBy("doc_id", "tx").count().where("count > 1").isEmpty()
     tagged = docs.withColumn("__lg_text", F.xxhash64(text_or_empty()))
