@@ -67,55 +67,67 @@ def rules() -> dict[str, Column]:
 
 
 class LabelModel:
-    """How often rules are right on good and on bad texts, and the share of good texts, by expectation-maximisation.
+    """How often rules are right, and which texts are good, by expectation-maximisation.
+
+    A text is good, or has one of as many faults as there are rules: most bad
+    texts break one rule only, and the others rightly find nothing wrong with
+    them, which a single class of bad texts could not express. Given its class
+    the rules that vote are independent; an abstention says nothing. Estimated
+    are the share of each class and, for each class and rule, how often its
+    vote is bad. A rule's own fault makes it vote so at least every second
+    time, and a good text hardly ever: bounds that keep good good.
 
-    Rules that vote are independent given the text's class; an abstention says
-    nothing. A rule's accuracy differs between the classes: most bad texts
-    break one rule only, and the others rightly find nothing wrong with them.
     The M-step reads the table of vote patterns, of which there are at most 3
     to the number of rules, so an iteration costs the same at every size.
-    The bounds keep good good and bad bad: a rule is written so that it hardly
-    ever votes against a good text, and sees a fault in a fifth of bad ones.
     """
 
-    GOOD, BAD, SHARE = (0.995, 0.9995), (0.2, 0.95), (0.5, 0.95)
+    ON_GOOD, ON_OWN, ON_OTHER, LEAST_SHARE = (0.0005, 0.005), (0.5, 0.999), (0.001, 0.95), 1e-4
 
-    def __init__(self, names: list[str], good: float = 0.997, bad: float = 0.3, share: float = 0.8):
-        self.names, self.share = names, share
-        #: By rule: the chance that its vote on a good text is good, and that its vote on a bad text is bad.
-        self.good, self.bad = [good] * len(names), [bad] * len(names)
+    def __init__(self, names: list[str]):
+        n = len(names)
+        self.names = names
+        #: The share of good texts, then of each fault.
+        self.share = [0.8, *[0.2 / n] * n]
+        #: By class: the chance that a rule's vote is bad.
+        self.bad = [[0.003] * n, *[[0.8 if k == r else 0.1 for r in range(n)] for k in range(n)]]
 
     def posterior(self) -> Column:
-        """The probability of a good text given the votes in columns v_<rule>."""
-        score = F.lit(math.log(self.share / (1 - self.share)))
-        for name, g, b in zip(self.names, self.good, self.bad):
-            v = F.col(f"v_{name}")
-            score = score + F.when(v == 1, math.log(g / (1 - b))).when(v == -1, math.log((1 - g) / b)).otherwise(0.0)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
+        """The probabilities of all classes given the votes in columns v_<rule>, the good one first."""
+        scores = []
+        for share, bad in zip(self.share, self.bad):
+            s = F.lit(math.log(share))
+            for name, x in zip(self.names, bad):
+                v = F.col(f"v_{name}")
+                s = s + F.when(v == -1, math.log(x)).when(v == 1, math.log(1 - x)).otherwise(0.0)
+            scores.append(F.exp(s))
+        every = F.array(*scores)
+        return F.transform(every, lambda x: x / F.aggregate(every, F.lit(0.0), lambda a, y: a + y))
+
+    def quality(self) -> Column:
+        return F.get(self.posterior(), F.lit(0))
 
     def fit(self, votes: DataFrame, steps: int = EM_STEPS) -> "LabelModel":
         """votes: columns v_<rule>, one row a text. No rows leave the model as it is."""
         columns = [f"v_{n}" for n in self.names]
         patterns = materialize(votes.groupBy(*columns).agg(F.count("*").cast("double").alias("n")), "vote-patterns").coalesce(1)
-        p, n = F.col("p"), F.col("n")
-        sums = {"good": F.sum(n * p), "all": F.sum(n)}
+        w = F.col("n") * F.col("p")
+        sums = [F.sum(w).alias("all")]
         for c in columns:
-            v = F.col(c)
-            sums |= {f"{c}_gg": F.sum(F.when(v == 1, n * p).otherwise(0.0)), f"{c}_g": F.sum(F.when(v != 0, n * p).otherwise(0.0))}
-            sums |= {f"{c}_bb": F.sum(F.when(v == -1, n * (1 - p)).otherwise(0.0)), f"{c}_b": F.sum(F.when(v != 0, n * (1 - p)).otherwise(0.0))}
-
-        def within(x: float, bounds: tuple[float, float]) -> float:
-            return min(bounds[1], max(bounds[0], x))
-
+            sums += [F.sum(F.when(F.col(c) == -1, w).otherwise(0.0)).alias(f"{c}_bad"), F.sum(F.when(F.col(c) != 0, w).otherwise(0.0)).alias(f"{c}_said")]
         for _ in range(steps):
-            row = patterns.withColumn("p", self.posterior()).agg(*[s.alias(k) for k, s in sums.items()]).first()
-            if not row["all"]:
+            by_class = patterns.select("n", *columns, F.posexplode(self.posterior()).alias("k", "p")).groupBy("k").agg(*sums)
+            rows = sorted(by_class.collect(), key=lambda r: r["k"])
+            total = sum(r["all"] for r in rows)
+            if not total:
                 break
-            before = [self.share, *self.good, *self.bad]
-            self.share = within(row["good"] / row["all"], self.SHARE)
-            self.good = [within((row[f"{c}_gg"] + 0.997) / (row[f"{c}_g"] + 1), self.GOOD) for c in columns]
-            self.bad = [within((row[f"{c}_bb"] + 0.3) / (row[f"{c}_b"] + 1), self.BAD) for c in columns]
-            if max(abs(x - y) for x, y in zip(before, [self.share, *self.good, *self.bad])) < 1e-4:
+            before = [*self.share, *(x for b in self.bad for x in b)]
+            share = [max(self.LEAST_SHARE, r["all"] / total) for r in rows]
+            self.share = [x / sum(share) for x in share]
+            for r in rows:
+                for i, c in enumerate(columns):
+                    low, high = self.ON_GOOD if r["k"] == 0 else self.ON_OWN if r["k"] == i + 1 else self.ON_OTHER
+                    self.bad[r["k"]][i] = min(high, max(low, (r[f"{c}_bad"] + 0.1 * low) / (r[f"{c}_said"] + 0.1)))
+            if max(abs(x - y) for x, y in zip(before, [*self.share, *(x for b in self.bad for x in b)])) < 1e-3:
                 break
         drop_scratch(patterns)
         return self
@@ -132,7 +144,7 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     counted = materialize(text_counts(docs).withColumns({f"v_{k}": v for k, v in votes.items()}), "text-counts")
     model = LabelModel(list(votes)).fit(counted)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counted.withColumn("base_failed", failed).withColumn("quality", model.posterior())
+    out = counted.withColumn("base_failed", failed).withColumn("quality", model.quality())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
