@@ -268,7 +268,7 @@ def exchange(m: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
             gain = (with_row - now).sum(1) + (with_col - now).sum(0)
             d = np.arange(classes)
             gain += f(n[d, d] + right + left + own) - with_row[d, d] - with_col[d, d] + now[d, d]
-            row, col = n.sum(1), n.sum(0)
+            row, col = n.sum(1) + left, n.sum(0) + right  # tokens beside u count in their classes' totals wherever u goes
             gain -= f(row + right.sum() + own) - f(row) + f(col + left.sum() + own) - f(col)
             gain[0] = -np.inf
             b = int(gain.argmax())
