@@ -126,7 +126,12 @@ def _labels(island: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> ChainCrf | None:
-    """Learn from the spans that the rules find in a bounded sample; None if they find none there."""
+    """Learn from the spans that the rules find in a bounded sample; None if they find none there.
+
+    Labels come from rules that look at key words, so each island is learned
+    twice, the second time without what stands before its tokens: else shapes
+    would have nothing to explain.
+    """
     n = docs.count()
     if not n:
         return None
@@ -139,13 +144,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> ChainCrf | Non
         base, found = base_spans(text), candidates(text)
         of_file = file_features(text, len(found))
         for island in islands(text, found):
-            first = len(indptr) - 1
-            for s, e in island:
-                indices += _slots(token_features(text, s, e, of_file))
-                indptr.append(len(indices))
             truth = np.array(_labels(island, base))
             positive |= bool(truth.any())
-            sequences.append((np.arange(first, first + len(island)), truth))
+            features = [token_features(text, s, e, of_file) for s, e in island]
+            for given in (features, [[x for x in f if not x.startswith(("before", "key before"))] for f in features]):
+                first = len(indptr) - 1
+                for f in given:
+                    indices += _slots(f)
+                    indptr.append(len(indices))
+                sequences.append((np.arange(first, first + len(island)), truth))
     if not positive:
         return None
     return train(Features(np.array(indptr), np.array(indices)), sequences, 3, DIM, epochs=20, batch=64, seed=seed)
