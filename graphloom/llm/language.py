@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
 from .crf import ChainCrf, Features, forward_backward, train
 
 #: The classifier is fitted on about this many documents of each language at most, and on the most frequent languages.
@@ -105,10 +104,12 @@ class Tagger:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language with the highest mean posterior over the words, and that mean."""
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         post, lengths = self.posteriors(texts)
         out = [(UNKNOWN, 0.0)] * len(texts)
         full = np.flatnonzero(lengths)
-        if len(full) and self.model.languages:
+        if len(full):
             n = lengths[full]
             mean = np.add.reduceat(post.astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
             best = mean.argmax(1)
