@@ -76,3 +76,8 @@ def read_truth(spark, path: str) -> DataFrame:
     """A JSON list of {name, callerFiles} -> (def, file); definitions without callers have none."""
     rows = spark.read.schema("name string, callerFiles array<string>").option("multiLine", True).json(path)
     return rows.select(F.col("name").alias("def"), F.explode("callerFiles").alias("file"))
+
+
+def format_bytes(n: int) -> str:
+    """B up to 1000, then whole KB, then MB with one digit."""
+    return f"{n / 1e6:.1f} MB" if n > 1e6 else f"{int(n / 1e3 + 0.5)} KB" if n > 1e3 else f"{n} B"
