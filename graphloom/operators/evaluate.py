@@ -66,10 +66,15 @@ def macro_average(per_definition: DataFrame) -> DataFrame:
 
 def token_efficiency(answers: DataFrame) -> DataFrame:
     """(answer_tokens, file_tokens) per query -> totals, how much smaller answers are than whole files (percent), and the median factor."""
-    totals = answers.agg(F.count("*").alias("queries"), F.coalesce(F.sum("answer_tokens"), F.lit(0)).alias("answer_tokens"), F.coalesce(F.sum("file_tokens"), F.lit(0)).alias("file_tokens"))
+    ratio = F.when(F.col("answer_tokens") > 0, F.col("file_tokens") / F.col("answer_tokens"))
+    middle = percentile_floor(answers.select(ratio.alias("factor")).where("factor is not null"), "factor", (50,))
+    part = answers.select(F.lit(1).alias("q"), "answer_tokens", "file_tokens", F.lit(None).cast("double").alias("factor"))
+    part = part.union(middle.select(F.lit(0), F.lit(0), F.lit(0), "factor"))
+    totals = part.agg(
+        F.coalesce(F.sum("q"), F.lit(0)).alias("queries"), F.coalesce(F.sum("answer_tokens"), F.lit(0)).alias("answer_tokens"), F.coalesce(F.sum("file_tokens"), F.lit(0)).alias("file_tokens"), F.coalesce(F.max("factor"), F.lit(0.0)).alias("median_factor")
+    )
     saved = F.when(F.col("file_tokens") == 0, 0.0).otherwise(100.0 * (1 - F.col("answer_tokens") / F.col("file_tokens")))
-    factor = percentile_floor(answers.where("answer_tokens > 0").select((F.col("file_tokens") / F.col("answer_tokens")).alias("factor")), "factor", (50,)).select("factor")
-    return totals.withColumn("reduction_percent", saved).join(factor.agg(F.coalesce(F.max("factor"), F.lit(0.0)).alias("median_factor")))
+    return totals.withColumn("reduction_percent", saved)
 
 
 def read_truth(spark, path: str) -> DataFrame:

@@ -76,12 +76,8 @@ def distinct_names(g: CodeGraph, limit: int = 5000) -> DataFrame:
 
 def stats(g: CodeGraph) -> DataFrame:
     """One row: files, symbols, refs, by_kind, by_lang."""
-
-    def counted(df: DataFrame, key: str, as_: str) -> DataFrame:
-        groups = df.groupBy(key).agg(F.count("*").alias("n"))
-        return groups.agg(F.map_from_entries(F.coalesce(F.collect_list(F.struct(key, "n")), F.array().cast(f"array<struct<{key}:string,n:bigint>>"))).alias(as_))
-
-    totals = g.files.agg(F.count("*").alias("files"))
-    for df, as_ in ((g.symbols, "symbols"), (g.refs, "refs")):
-        totals = totals.join(df.agg(F.count("*").alias(as_)))
-    return totals.join(counted(g.symbols, "kind", "by_kind")).join(counted(g.files, "lang", "by_lang"))
+    counted = lambda df, of, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(of).alias("of"), "key", "n")
+    groups = counted(g.files, "files", F.col("lang")).union(counted(g.symbols, "symbols", F.col("kind"))).union(counted(g.refs, "refs", F.lit("")))
+    total = lambda of: F.coalesce(F.sum(F.when(F.col("of") == of, F.col("n"))), F.lit(0)).cast("bigint").alias(of)
+    by = lambda of, name: F.map_from_entries(F.collect_list(F.when(F.col("of") == of, F.struct("key", "n")))).alias(name)
+    return groups.agg(total("files"), total("symbols"), total("refs"), by("symbols", "by_kind"), by("files", "by_lang"))

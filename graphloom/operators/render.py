@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,10 @@ def _edges(edges: DataFrame) -> DataFrame:
 
 def _sections(head: str, parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """Sections of text one after another; those without text are left out."""
-    out = None
-    for i, (title, part) in enumerate(parts):
-        p = part.select(F.col("text").alias(f"t{i}"))
-        out = p if out is None else out.join(p)
-    text = [F.when(F.coalesce(F.col(f"t{i}"), F.lit("")) != "", F.concat(F.lit(f"\n\n{title}"), F.col(f"t{i}"))).otherwise("") for i, (title, _) in enumerate(parts)]
-    return out.select(F.concat(F.lit(head), *text).alias("text"))
+    titled = [part.select(F.lit(i).alias("i"), F.concat(F.lit(f"\n\n{title}"), "text").alias("t"), "text") for i, (title, part) in enumerate(parts)]
+    rows = reduce(DataFrame.union, titled).where("text <> ''")
+    body = F.array_sort(F.collect_list(F.struct("i", "t")))
+    return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(body, lambda x: x.t), "")).alias("text"))
 
 
 def render_neighborhood(root: str, nodes: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ class CodeGraph:
     @cached_property
     def edges(self) -> DataFrame:
         """(src, dst) distinct, cut from its lineage: traversals read it at every level."""
-        return cut(self.resolved_calls.select("src", "dst").distinct(), "edges")
+        return cut(self.edge_files.select("src", "dst").distinct(), "edges")
 
     @cached_property
     def edge_files(self) -> DataFrame:
