@@ -18,9 +18,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
-    def keep(f):
-        name = f.__name__
+def _query(sql: str | None = None, name: str | None = None):
+    def keep(f, name=name):
+        name = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(CodeGraph.from_testdata(spark, sf_dir))
@@ -265,13 +265,13 @@ _IS_TEST = (
 _BASENAME = "split_part(regexp_extract(path, '[^/]*$'), '.', 1)"
 
 
-@_query(oracle(["cg_files"], f"SELECT path, {_IS_TEST} AS is_test FROM cg_files"))
-def is_test(g):
+@_query(oracle(["cg_files"], f"SELECT path, {_IS_TEST} AS is_test FROM cg_files"), name="is_test_file")
+def _is_test_file(g):
     return g.files.select("path", is_test_file("path").alias("is_test"))
 
 
-@_query(oracle(["cg_files"], f"SELECT path, {_BASENAME} AS basename FROM cg_files"))
-def module_basenames(g):
+@_query(oracle(["cg_files"], f"SELECT path, {_BASENAME} AS basename FROM cg_files"), name="module_basename")
+def _module_basename(g):
     return g.files.select("path", module_basename("path").alias("basename"))
 
 
@@ -415,6 +415,64 @@ def render_callers(g):
     return render.render_callers(lookup.find_callers(g, root(g), limit=None))
 
 
+@_query(
+    oracle(
+        ["located", "root"],
+        "SELECT string_agg(path || ':' || CAST(start_row + 1 AS VARCHAR) || '  ' || coalesce(from_symbol, '(top level)'), chr(10) "
+        "ORDER BY path, start_row, start_col, name, kind, from_symbol NULLS FIRST) AS text FROM located WHERE name = (SELECT name FROM root)",
+    )
+)
+def render_refs(g):
+    return render.render_refs(lookup.find_references(g, root(g), limit=None))
+
+
+@_query(
+    oracle(
+        ["resolved", "edges", "root", "defs"],
+        f"SELECT string_agg('[' || CAST(distance AS VARCHAR) || ' hop] ' || line, chr(10) ORDER BY distance, path, start_row, symbol_id) AS text FROM "
+        f"(SELECT {_LINE} AS line, * FROM impacted ORDER BY distance, path, start_row, symbol_id LIMIT 100)",
+        _bfs(2),
+        recursive=True,
+    )
+)
+def render_impact(g):
+    return render.render_impact(traverse.impact(g, root(g), 2))
+
+
+@_query(
+    oracle(
+        _AFFECTED_NEEDS,
+        "SELECT CASE WHEN count(*) = 0 THEN 'No test files appear affected by ' || CAST((SELECT count(*) FROM changed) AS VARCHAR) || ' changed file(s).' "
+        "ELSE CAST(count(*) AS VARCHAR) || ' test file(s) affected by your changes:' || chr(10) || chr(10) || string_agg('  ' || path, chr(10) ORDER BY path) END AS text "
+        f"FROM affected WHERE {_IS_TEST}",
+        _AFFECTED,
+        recursive=True,
+    )
+)
+def render_affected(g):
+    return render.render_affected(traverse.affected(g, _changed(g)))
+
+
+@_query(
+    oracle(
+        ["cg_files", "cg_symbols", "cg_refs"],
+        "SELECT 'files:   ' || CAST((SELECT count(*) FROM cg_files) AS VARCHAR) || chr(10) || 'symbols: ' || CAST((SELECT count(*) FROM cg_symbols) AS VARCHAR) || '  (' || "
+        "(SELECT string_agg(kind || '=' || CAST(n AS VARCHAR), ' ' ORDER BY n DESC, kind) FROM (SELECT kind, count(*) AS n FROM cg_symbols GROUP BY kind)) || ')' || chr(10) || "
+        "'refs:    ' || CAST((SELECT count(*) FROM cg_refs) AS VARCHAR) || chr(10) || 'langs:   ' || "
+        "(SELECT string_agg(lang || '=' || CAST(n AS VARCHAR), ' ' ORDER BY n DESC, lang) FROM (SELECT lang, count(*) AS n FROM cg_files GROUP BY lang)) AS text",
+    )
+)
+def render_stats(g):
+    return render.render_stats(lookup.stats(g))
+
+
+@_query(oracle(["cg_files"], "SELECT path, CASE regexp_extract(path, '[.][^.]*$') WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' END AS lang FROM cg_files"))
+def language_of_path(g):
+    from .sources.scan import language_of
+
+    return g.files.select("path", language_of("path").alias("lang"))
+
+
 @_query(oracle(["cg_files"], "SELECT path FROM cg_files WHERE file_id % 3 <> 0"))
 def prune_deleted(g):
     """Stored paths that a walk did not see: here it saw every third file."""
@@ -463,6 +521,38 @@ def precision_recall_f1(g):
     return evaluate.accuracy(truth, answer)
 
 
+@_query(
+    oracle(
+        ["resolved", "located"],
+        "SELECT count(*) AS definitions, avg(p) AS \"precision\", avg(r) AS recall, avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END) AS f1 FROM ("
+        "SELECT coalesce(b.n, 0) / a.n AS p, coalesce(b.n, 0) / t.n AS r "
+        "FROM (SELECT def, count(*) AS n FROM truth GROUP BY def) t JOIN (SELECT def, count(*) AS n FROM answer GROUP BY def) a ON a.def = t.def "
+        "LEFT JOIN (SELECT def, count(*) AS n FROM truth JOIN answer USING (def, file) GROUP BY def) b ON b.def = t.def)",
+        "truth AS (SELECT DISTINCT dst AS def, file_id AS file FROM resolved), "
+        "answer AS (SELECT DISTINCT name AS def, file_id AS file FROM located WHERE kind IN ('call', 'method'))",
+    )
+)
+def macro_average(g):
+    return evaluate.macro_average(precision_recall_f1(g))
+
+
+@_query(
+    oracle(
+        ["defs"],
+        "SELECT (SELECT count(*) FROM answers) AS queries, (SELECT CAST(sum(a) AS BIGINT) FROM answers) AS answer_tokens, (SELECT CAST(sum(f) AS BIGINT) FROM answers) AS file_tokens, "
+        "100.0 * (1 - (SELECT sum(a) / sum(f) FROM answers)) AS reduction_percent, "
+        "(SELECT f / a FROM (SELECT a, f, row_number() OVER (ORDER BY f / a) - 1 AS nth, count(*) OVER () AS n FROM answers WHERE a > 0) WHERE nth = least(n - 1, CAST(floor(50 * n / 100) AS BIGINT))) AS median_factor",
+        "per AS (SELECT path, CAST(len(regexp_extract_all(coalesce(signature, ''), '[A-Za-z0-9]{1,4}|[^\\sA-Za-z0-9]')) AS BIGINT) AS t FROM defs), "
+        "answers AS (SELECT p.t AS a, w.t AS f FROM per p JOIN (SELECT path, sum(t) AS t FROM per GROUP BY path) w USING (path))",
+    )
+)
+def token_efficiency(g):
+    """Each symbol's signature as an answer, held against all signatures of its file."""
+    per = g.definitions.select("path", token_estimate(F.coalesce("signature", F.lit(""))).alias("answer_tokens"))
+    whole = per.groupBy("path").agg(F.sum("answer_tokens").alias("file_tokens"))
+    return evaluate.token_efficiency(per.join(whole, "path"))
+
+
 @_query(
     oracle(
         ["located"],

@@ -15,34 +15,46 @@ from .sources.indexer import parse_files, parse_source_udtf
 from .streaming.changes import last_events
 
 
-def python_texts(g: CodeGraph) -> DataFrame:
-    """Source text for the python files of the graph: each symbol a function whose body is its calls."""
-    files = g.files.where("lang = 'python'").select("file_id", "path")
+#: How a function and its end are written in the languages of the derived graph.
+_HEADS = {"python": ("def ", "():\n", "    pass", ""), "typescript": ("function ", "() {\n", "", "\n}"), "go": ("func ", "() {\n", "", "\n}")}
+
+
+def texts(g: CodeGraph, *langs: str) -> DataFrame:
+    """Source text for files of the graph: each symbol a function whose body is its calls."""
+    pick = lambda i: F.create_map(*[F.lit(x) for k in langs for x in (k, _HEADS[k][i])])[F.col("lang")]
+    files = g.files.where(F.col("lang").isin(*langs)).select("file_id", "path", "lang")
     call = F.when(F.col("r.kind") == "call", F.concat(F.lit("    "), "r.name", F.lit("()"))).otherwise(F.concat(F.lit("    obj."), "r.name", F.lit("()")))
     calls = g.calls.where(F.col("from_symbol").isNotNull()).alias("r").groupBy("r.file_id", "r.from_symbol").agg(F.array_sort(F.collect_set(call)).alias("body"))
     made = g.symbols.select("file_id", "name").distinct().join(files, "file_id")
     made = made.join(calls.withColumnRenamed("from_symbol", "name"), ["file_id", "name"], "left")
-    body = F.coalesce(F.array_join("body", "\n"), F.lit("    pass"))
-    text = F.concat(F.lit("def "), "name", F.lit("():\n"), body)
-    return made.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text")).select("path", F.lit("python").alias("lang"), "text")
+    text = F.concat(pick(0), "name", pick(1), F.coalesce(F.array_join("body", "\n"), pick(2)), pick(3))
+    return made.groupBy("path", "lang").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = python_texts(CodeGraph.from_testdata(spark, sf_dir))
-    return parse_files(texts.withColumns({"hash": F.sha1("text"), "size": F.length("text").cast("bigint"), "mtime": F.lit(0).cast("bigint")}))
+def _parsed(spark: SparkSession, sf_dir: str, *langs: str) -> DataFrame:
+    made = texts(CodeGraph.from_testdata(spark, sf_dir), *langs)
+    return parse_files(made.withColumns({"hash": F.sha1("text"), "size": F.length("text").cast("bigint"), "mtime": F.lit(0).cast("bigint")}))
 
 
 def parse_roundtrip_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.signature")
+    return _parsed(spark, sf_dir, "python").select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.signature")
 
 
 def parse_roundtrip_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("path", F.explode("refs").alias("r")).select("path", "r.from_symbol", "r.name", "r.kind").distinct()
+    return _parsed(spark, sf_dir, "python").select("path", F.explode("refs").alias("r")).select("path", "r.from_symbol", "r.name", "r.kind").distinct()
+
+
+def parse_braces_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, "typescript", "go").select("path", "lang", F.explode("symbols").alias("s")).select("path", "lang", "s.name", "s.kind", "s.signature")
+
+
+def parse_braces_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, "typescript", "go").select("path", F.explode("refs").alias("r")).select("path", "r.from_symbol", "r.name", "r.kind").distinct()
 
 
 def parse_lateral_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same parser as a table function of SQL."""
-    python_texts(CodeGraph.from_testdata(spark, sf_dir)).createOrReplaceTempView("graphloom_texts")
+    texts(CodeGraph.from_testdata(spark, sf_dir), "python").createOrReplaceTempView("graphloom_texts")
     spark.udtf.register("parse_source", parse_source_udtf())
     return spark.sql("SELECT t.path, p.what, count(*) AS n FROM graphloom_texts t, LATERAL parse_source(t.lang, t.text) p GROUP BY t.path, p.what")
 
@@ -95,7 +107,7 @@ def stream_upsert_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (parse_roundtrip_symbols, parse_roundtrip_refs, parse_lateral_counts, page_links, page_definitions, last_event_per_file, stream_upsert_equals_batch)
+    fs = (parse_roundtrip_symbols, parse_roundtrip_refs, parse_braces_symbols, parse_braces_refs, parse_lateral_counts, page_links, page_definitions, last_event_per_file, stream_upsert_equals_batch)
     return {f.__name__: f for f in fs}
 
 
@@ -108,6 +120,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "parse_roundtrip_symbols": oracle(["cg_symbols", "cg_files"], "SELECT DISTINCT path, name, 'function' AS kind, 'def ' || name || '():' AS signature FROM py", _PY.split(",\npy_refs")[0]),
         "parse_roundtrip_refs": oracle(["cg_refs", "cg_symbols", "cg_files"], "SELECT path, from_symbol, name, kind FROM py_refs", _PY),
+        "parse_braces_symbols": oracle(
+            ["cg_symbols", "cg_files"],
+            "SELECT DISTINCT path, lang, name, 'function' AS kind, CASE lang WHEN 'go' THEN 'func ' ELSE 'function ' END || name || '()' AS signature FROM braces",
+            "braces AS (SELECT f.path, f.lang, s.name FROM cg_symbols s JOIN cg_files f ON f.file_id = s.file_id WHERE f.lang <> 'python')",
+        ),
+        "parse_braces_refs": oracle(["cg_refs", "cg_symbols", "cg_files"], "SELECT path, from_symbol, name, kind FROM py_refs", _PY.replace("= 'python'", "<> 'python'")),
         "parse_lateral_counts": oracle(
             ["cg_refs", "cg_symbols", "cg_files"],
             "SELECT path, 'symbol' AS what, count(*) AS n FROM py GROUP BY path UNION ALL SELECT path, 'ref', count(*) FROM py_refs GROUP BY path",
