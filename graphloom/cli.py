@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
 from . import __version__, install
 from .operators import lookup, render, traverse
 from .plans import schema
+from .plans.scratch import scratch_path
 from .sources.indexer import Indexer
 from .sources.store import GraphStore
 from .tools import TOOLS
@@ -107,7 +107,7 @@ def _follow(a: argparse.Namespace, indexer: Indexer, store: GraphStore, say: Cal
     from .server import Server
     from .streaming.changes import watch
 
-    handle = watch(indexer, tempfile.mkdtemp(prefix="graphloom-watch-"), lambda p, what: say(f"{what} {p}"), lambda e: say(f"error: {e}"))
+    handle = watch(indexer, scratch_path(indexer.spark, "watch"), lambda p, what: say(f"{what} {p}"), lambda e: say(f"error: {e}"))
     try:
         if a.command == "mcp":
             Server(store.graph).serve(sys.stdin, sys.stdout)

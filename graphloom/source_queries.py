@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.derive import oracle
 from .plans.graph import CodeGraph
+from .plans.scratch import scratch_path
 from .sources.indexer import parse_files, parse_source_udtf
 from .streaming.changes import last_events
 
@@ -89,9 +88,7 @@ def last_event_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log replayed in micro-batches through a keyed table; equal to the batch result above."""
     log = _change_log(CodeGraph.from_testdata(spark, sf_dir))
-    from .plans.scratch import shared_dir
-
-    base = f"{shared_dir(spark)}/graphloom/{Path(tempfile.mktemp(prefix='stream-')).name}"
+    base = scratch_path(spark, "stream")
     log.repartition(6, "path").write.parquet(f"{base}/log")
     state = f"{base}/state"
 
