@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_or_empty
+from .common import materialize, scratch_path, text_or_empty
 from .tokens import TokenizerSpec, default_tokenizer, encoder
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -90,6 +90,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, cache_path:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = contents.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(_encode_distinct(spec), "digest binary, n_tokens long")
     cache.append(counts, spec.digest)
-    known = cache.read(spec.digest)
+    # read back from a table: a join with an aggregate could not split a digest that many rows share
+    known = materialize(cache.read(spec.digest), "known-counts")
     keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keyed.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
