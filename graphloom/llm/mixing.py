@@ -11,7 +11,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 NEWTON_STEPS = 80
 #: Rows of one source and size that are ranked together.
-RANKED = 2000
+RANKED = 200
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
