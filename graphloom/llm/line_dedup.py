@@ -66,6 +66,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     arrays = materialize(_line_arrays(docs).dropDuplicates(["doc_id", "tx"]), "line-arrays")
     chosen = materialize(fingerprints(arrays, run, gram), "line-fingerprints")
     first = chosen.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "first-fingerprints")  # a join with an aggregate could not split a gram that many documents share
     met = chosen.join(first, "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("p") == F.col("first.p"))))
     pairs = met.select("doc_id", "tx", F.col("first.doc_id").alias("doc0"), F.col("first.tx").alias("tx0"), (F.col("p") - F.col("first.p")).alias("shift")).distinct()
     mine = arrays.select("doc_id", "tx", "hs", "ws", "places")
