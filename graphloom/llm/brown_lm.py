@@ -376,7 +376,9 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
     ranges = batched.select("batch", "h", "c", "pool").mapInArrow(_to_ranges(bits), "range long, batch long, h binary, c binary, pool binary")
     merged = materialize(ranges.repartition(n, "range").sortWithinPartitions("range", "batch").mapInArrow(_merge_ranges(units), MERGED_SCHEMA), "word-counts")
     vocabulary = _vocabulary(merged, texts, units)
-    pairs = batched.select("held", "lengths", "tokens", "h", "pool").mapInArrow(_bigrams(vocabulary), "a long, b array<long>, n array<long>")
+    # a task sends its whole matrix: their number follows the cluster, not the corpus
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    pairs = batched.select("held", "lengths", "tokens", "h", "pool").coalesce(tasks).mapInArrow(_bigrams(vocabulary), "a long, b array<long>, n array<long>")
     lines = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_sum_bigrams(vocabulary.units), "a long, n array<long>").collect()
     matrix = np.zeros((vocabulary.units, vocabulary.units))
     for x in lines:
