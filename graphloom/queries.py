@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import clipped, is_test_file, module_basename, symbol_line, token_estimate
 from .operators import context as ctx
-from .operators import evaluate, lookup, render, traverse
+from .operators import evaluate, lookup, render, traverse, trigram
 from .plans.derive import oracle
 from .plans.graph import CodeGraph
 from .plans.scratch import cut
@@ -82,6 +82,16 @@ def search_literal_wildcard(g):
     return lookup.search_symbols(g, "_2")
 
 
+@_query(_search("Ring_2"))
+def search_by_trigrams(g):
+    return trigram.search(g, trigram.build(g.symbols), "Ring_2")
+
+
+@_query(oracle(["cg_symbols"], "SELECT tri, count(*) AS symbols FROM (SELECT DISTINCT symbol_id, substr(lower(name), CAST(i AS BIGINT), 3) AS tri FROM cg_symbols, unnest(range(1, length(name) - 1)) AS r(i)) GROUP BY tri"))
+def trigram_frequencies(g):
+    return trigram.build(g.symbols).groupBy("tri").agg(F.count("*").alias("symbols"))
+
+
 @_query(oracle(["defs", "root"], f"SELECT {SYM} FROM defs WHERE name = (SELECT name FROM root) ORDER BY path, start_row, symbol_id LIMIT 50"))
 def get_symbol(g):
     return lookup.get_symbol(g, root(g))

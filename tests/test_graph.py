@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import clipped, contains_literal, import_basenames, is_test_file, module_basename, short_signature, token_estimate, utf16_length
 from graphloom.operators import context as ctx
-from graphloom.operators import evaluate, lookup, render, traverse
+from graphloom.operators import evaluate, lookup, render, traverse, trigram
 from graphloom.plans.graph import CodeGraph
 from graphloom.sources.store import GraphStore
 
@@ -37,6 +37,13 @@ def test_search_orders_and_takes_signs_literally(spark):
     assert names(lookup.search_symbols(g, "zz")) == [] and len(names(lookup.search_symbols(g, ""))) == 6
 
 
+def test_trigram_search_equals_scan(spark):
+    g = graph(spark, [("a.ts", n, "function") for n in ("loadConfig", "Config", "conConfig", "fig", "onf", "xx", "ÄÖÜconfig")])
+    index = trigram.build(g.symbols)
+    for q in ("config", "onf", "ig", "", "nothing", "öüc", "Config"):
+        assert names(trigram.search(g, index, q)) == names(lookup.search_symbols(g, q)), q
+
+
 def test_callers_are_distinct_and_complete(spark):
     uses = [(f"src/{x}.ts", f"use_{x}", "doThing", "call") for x in "abc"]
     g = graph(spark, [("src/util.ts", "doThing", "function")], [*uses, ("src/a.ts", "use_a", "doThing", "method"), ("src/a.ts", None, "doThing", "import"), ("src/b.ts", None, "doThing", "call")])
