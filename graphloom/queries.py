@@ -220,6 +220,14 @@ def impact_d6_limited(g):
     return traverse.impact(g, root(g), 6)
 
 
+@_query(oracle(["resolved", "edges", "root", "defs"], f"SELECT {SYM}, distance FROM impacted", _bfs(3), recursive=True))
+def impact_sql_function(g):
+    from .tools import register_sql
+
+    register_sql(g)
+    return g.files.sparkSession.sql("SELECT * FROM impact(:root)", {"root": root(g)})
+
+
 @_query(oracle(["resolved", "edges", "root", "defs"], "SELECT CAST(d AS INT) AS distance, count(*) AS names FROM reached WHERE d > 0 GROUP BY d", _bfs(6), recursive=True))
 def impact_by_distance(g):
     found = traverse.bfs(traverse.roots_of(g.symbols.sparkSession, [root(g)]), g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 6)

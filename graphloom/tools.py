@@ -118,23 +118,47 @@ def call_tool(g: CodeGraph, name: str, args: dict | None = None) -> str:
 
 
 def register_sql(g: CodeGraph) -> None:
-    """Views cg_files, cg_symbols and cg_refs, and table functions named after the tools that need no search by levels."""
+    """Views cg_files, cg_symbols, cg_refs, cg_edges and cg_imports, and table functions named after the tools.
+
+    A function cannot cut lineage between levels, so impact and neighborhood
+    are written out for their default depths (3 and 2). context and affected
+    rank and loop, and stay with the tools and the DataFrame operators.
+    """
     spark = g.files.sparkSession
-    g.files.createOrReplaceTempView("cg_files")
-    g.definitions.createOrReplaceTempView("cg_symbols")
-    g.located_refs.createOrReplaceTempView("cg_refs")
-    g.resolved_calls.createOrReplaceTempView("cg_resolved")
-    sym = ", ".join(lookup.SYMBOL_COLUMNS)
+    for name, df in (
+        ("cg_files", g.files), ("cg_symbols", g.definitions), ("cg_refs", g.located_refs), ("cg_resolved", g.resolved_calls),
+        ("cg_edges", g.edges), ("cg_edge_files", g.edge_files), ("cg_imports", traverse.import_edges(g)), ("cg_stats", lookup.stats(g)),
+    ):
+        df.createOrReplaceTempView(name)
+    columns = lambda *given: ", ".join(given)
+    sym, ref = columns(*lookup.SYMBOL_COLUMNS), columns(*lookup.REF_COLUMNS)
+    of_s = columns(*(f"s.{c}" for c in lookup.SYMBOL_COLUMNS))
     sym_types = "symbol_id BIGINT, path STRING, name STRING, kind STRING, container STRING, exported BOOLEAN, signature STRING, start_row INT, start_col INT, end_row INT, end_col INT"
-    ref = ", ".join(lookup.REF_COLUMNS)
     ref_types = "path STRING, from_symbol STRING, name STRING, kind STRING, start_row INT, start_col INT"
     fits = "(r.kind = 'call' AND s.kind = 'function' OR r.kind = 'method' AND s.kind = 'method')"
+
+    def levels(root: str, depth: int, step: str) -> str:
+        """reached(name, d): names by levels, each without those of the levels before. step joins a level p to the next name."""
+        out = [f"l0 AS (SELECT {root} AS name, 0 AS d)"]
+        for d in range(1, depth + 1):
+            before = " UNION ALL ".join(f"SELECT name FROM l{k}" for k in range(d))
+            out.append(f"l{d} AS (SELECT DISTINCT n.name, {d} AS d FROM ({step.format(level=f'l{d - 1}')}) n LEFT ANTI JOIN ({before}) b ON b.name = n.name)")
+        return ", ".join([*out, "reached AS (" + " UNION ALL ".join(f"SELECT name, d FROM l{k}" for k in range(depth + 1)) + ")"])
+
+    callers = "SELECT e.src AS name FROM {level} p JOIN cg_edges e ON e.dst = p.name"
+    near = callers + " UNION ALL SELECT e.dst AS name FROM {level} p JOIN cg_edges e ON e.src = p.name"
     for signature, types, body in (
         ("search_symbols(query STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE contains(lower(name), lower(search_symbols.query))"),
         ("get_symbol(wanted STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE name = get_symbol.wanted"),
         ("file_outline(file STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE path = file_outline.file"),
         ("find_references(wanted STRING)", ref_types, f"SELECT {ref} FROM cg_refs WHERE name = find_references.wanted"),
         ("find_callers(wanted STRING)", ref_types, f"SELECT {ref} FROM (SELECT *, row_number() OVER (PARTITION BY path, from_symbol ORDER BY start_row, start_col) AS nth FROM cg_refs WHERE kind IN ('call', 'method') AND name = find_callers.wanted) WHERE nth = 1"),
-        ("find_callees(caller STRING)", sym_types, f"SELECT DISTINCT {', '.join('s.' + c for c in lookup.SYMBOL_COLUMNS)} FROM cg_resolved r JOIN cg_symbols s ON s.name = r.dst AND {fits} WHERE r.src = find_callees.caller"),
+        ("find_callees(caller STRING)", sym_types, f"SELECT DISTINCT {of_s} FROM cg_resolved r JOIN cg_symbols s ON s.name = r.dst AND {fits} WHERE r.src = find_callees.caller"),
+        ("find_importers(module STRING)", "path STRING", "SELECT DISTINCT path FROM cg_imports WHERE basename = find_importers.module AND basename <> ''"),
+        ("graph_stats()", "files BIGINT, symbols BIGINT, refs BIGINT, by_kind MAP<STRING, BIGINT>, by_lang MAP<STRING, BIGINT>", "SELECT files, symbols, refs, by_kind, by_lang FROM cg_stats"),
+        ("impact(root STRING)", f"{sym_types}, distance INT",
+         f"WITH {levels('impact.root', 3, callers)}, hit AS (SELECT DISTINCT a.name, a.d, e.file_id FROM reached a JOIN cg_edge_files e ON e.src = a.name JOIN reached b ON b.name = e.dst AND b.d = a.d - 1) "
+         f"SELECT {of_s}, hit.d FROM hit JOIN cg_symbols s ON s.name = hit.name AND s.file_id = hit.file_id"),
+        ("neighborhood(root STRING)", f"{sym_types}, distance INT", f"WITH {levels('neighborhood.root', 2, near)} SELECT {of_s}, r.d FROM reached r JOIN cg_symbols s ON s.name = r.name"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE({types}) RETURN {body}")

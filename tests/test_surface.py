@@ -69,6 +69,9 @@ def test_sql_functions(spark, g):
     assert spark.sql("SELECT from_symbol FROM find_callers('loadConfig')").first()[0] == "main"
     assert spark.sql("SELECT t.n, s.kind FROM VALUES ('main'), ('Config') t(n), LATERAL get_symbol(t.n) s ORDER BY 1").collect()[0]["kind"] == "interface"
     assert spark.sql("SELECT name FROM find_callees('main')").first()[0] == "loadConfig"
+    assert [(r["name"], r["distance"]) for r in spark.sql("SELECT * FROM impact('loadConfig')").collect()] == [("main", 1)]
+    assert {(r["name"], r["distance"]) for r in spark.sql("SELECT * FROM neighborhood('main')").collect()} == {("main", 0), ("loadConfig", 1)}
+    assert spark.sql("SELECT * FROM graph_stats()").first()["symbols"] == 3 and spark.sql("SELECT * FROM find_importers('x')").count() == 0
     assert spark.sql("SELECT * FROM file_outline('a.ts')").count() == 3 and spark.sql("SELECT * FROM find_references('gone')").count() == 1
 
 
