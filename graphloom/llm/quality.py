@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ SYMBOLS = "#*$%&|<>"
 EM_STEPS = 25
 
 
-def _bare(col, chars: str) -> Column:
-    return F.translate(col, chars, "")
+def _without(text: Column, chars: str) -> Column:
+    """Replaced one by one: a pass that finds nothing is a scan of bytes."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -24,21 +26,23 @@ def text_counts(docs: DataFrame) -> DataFrame:
     Windows of three words are compared by 64-bit hashes. Hashes are sorted
     with their positions, so a text costs n log n whatever repeats in it.
     """
+    text = F.col("text")
     x = docs.select("doc_id", text_or_empty().alias("text"))
-    x = x.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    x = x.withColumn("lines", F.filter(F.split("text", "\n"), lambda l: _bare(l, SPACE) != ""))
+    x = x.withColumn("words", F.split(F.btrim("text", F.lit(SPACE)), r"[\x20\x09-\x0D]+"))
+    x = x.withColumn("n", F.when(F.get("words", F.lit(0)) == "", 0).otherwise(F.size("words")))
+    x = x.withColumn("lines", F.filter(F.split("text", "\n"), lambda l: l.rlike(r"[^\x20\x09-\x0D]")))
     x = x.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(_bare("text", SPACE)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_bare("text", SYMBOLS))).cast("long").alias("n_symbols"),
+        F.col("n").cast("long").alias("n_words"),
+        F.length(_without(text, SPACE)).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        (F.length("text") - F.length(_bare("text", "!"))).cast("long").alias("n_shouts"),
+        (F.length("text") - F.length(_without(text, "!"))).cast("long").alias("n_shouts"),
         F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
-        F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))).alias("h"),
+        F.when(F.col("n") >= 3, F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), F.lit(1), F.col("n") - 2)).alias("h"),
     )
-    x = x.withColumn("h", F.when(F.size("h") > F.size(F.array_distinct("h")), F.array_sort(F.transform("h", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))))
+    x = x.withColumn("h", F.when(F.size("h") > F.size(F.array_distinct("h")), F.sort_array(F.transform("h", lambda v, i: F.struct(v.alias("v"), (i + 1).alias("i"))))))
     again = F.filter(F.col("h"), lambda e, k: (e.v == F.get("h", k - 1).v) | (e.v == F.get("h", k + 1).v))
     covered = F.size(F.array_distinct(F.flatten(F.transform(again, lambda e: F.array(e.i, e.i + 1, e.i + 2)))))
     return x.withColumn("n_repeat_words", F.when(F.col("h").isNull(), 0).otherwise(covered).cast("long")).drop("h")
