@@ -5,10 +5,12 @@ batch is a few arrays. Counts of all words are merged by ranges of their
 hashes, and each batch gets back the counts of its own words: no vocabulary is
 ever in one place. Words are known by 64-bit hashes.
 
-Classes are found by exchange over units: each of the UNITS most frequent words
-is a unit, and all other words, unseen ones included, belong to one of POOLS
-units by their ending. The matrix of unit bigrams is of fixed size and counts
-every training token.
+Classes start from an exchange over units: each of the UNITS most frequent words
+is a unit, and all other words belong to one of POOLS units by their ending.
+The matrix of unit bigrams is of fixed size and counts every training token.
+Then every other word of LEAST or more training tokens moves by itself, by the
+classes beside it, counted over the corpus by ranges of hashes. Only rarer and
+unseen words keep their pool's class.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ UNITS = 1024
 POOLS = 512
 CLASSES = 64
 ALPHA = 0.1
+#: Training tokens from which a word has a class of its own choice.
+LEAST = 2
 BATCH_BYTES = 8 << 20
 #: Unit 0 is the end of a text; frequent words follow, then pools.
 END = 0
@@ -296,45 +300,193 @@ class ClassModel:
     def learn(vocabulary: Vocabulary, m: np.ndarray, classes: int = CLASSES) -> "ClassModel":
         cls = exchange(m, classes)
         hot = np.eye(classes)[cls]
-        n = hot.T @ m @ hot
-        alone = (n.sum(0) + ALPHA) / (n.sum() + ALPHA * classes)
-        prior = 20.0  # a class's history counts as much as the unigram after so many tokens
-        trans = (n + prior * alone[None, :]) / (n.sum(1, keepdims=True) + prior)
         tokens = np.bincount(cls, weights=vocabulary.unit_tokens(), minlength=classes)
         words = np.bincount(cls, weights=vocabulary.unit_words(), minlength=classes)
-        return ClassModel(vocabulary, cls, np.log10(trans), tokens, words)
+        return ClassModel(vocabulary, cls, ClassModel.transitions(hot.T @ m @ hot), tokens, words)
+
+    @staticmethod
+    def transitions(n: np.ndarray) -> np.ndarray:
+        """log10 chances from class to class, from class bigrams."""
+        alone = (n.sum(0) + ALPHA) / (n.sum() + ALPHA * len(n))
+        prior = 20.0  # a class's history counts as much as the unigram after so many tokens
+        return np.log10((n + prior * alone[None, :]) / (n.sum(1, keepdims=True) + prior))
 
     def log_emission(self, count: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Of a word of its class; the unseen words of a class have one share between them."""
         return np.log10((count + ALPHA) / (self.class_tokens[cls] + ALPHA * (self.class_words[cls] + 1)))
 
 
-def _scorer(model: ClassModel):
+def _neighbours(model: ClassModel, bits: int):
+    """Cut the words of a batch into ranges of the hash, with their classes, training counts and the classes before and after them.
+
+    The cells of a word are classes before it, and after them classes behind
+    it; the frequent words have none, as their classes are settled.
+    """
+    v, k = model.vocabulary, len(model.class_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for row in b.to_pylist():
+                h, c = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4")
+                units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
+                cls = model.cls[units]
+                word, _, starts = _sequence(row, units)
+                of = np.r_[cls, model.cls[END]][word]
+                own = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(np.r_[starts, len(word)]))
+                at = np.flatnonzero(own & (word >= 0) & np.r_[units > len(v.top), False][word])
+                before = np.where(at > 0, of[at - 1], model.cls[END])
+                cell, n = np.unique(np.concatenate([word[at] * 2 * k + before, word[at] * 2 * k + k + of[at + 1]]), return_counts=True)
+                cells = np.bincount(cell // (2 * k), minlength=len(h))
+                cut = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                upto = np.r_[0, np.cumsum(cells)]
+                out = []
+                for r, (x, y) in enumerate(zip(cut, np.r_[cut[1:], len(h)])):
+                    if y > x:
+                        z = slice(upto[x], upto[y])
+                        out.append((r, row["batch"], h[x:y].tobytes(), press(cls[x:y].astype("<u2").tobytes()), press(c[x:y].tobytes()), press(cells[x:y].astype("<u4").tobytes()), press((cell[z] % (2 * k)).astype("<u2").tobytes()), press(n[z].astype("<u4").tobytes())))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["range", "batch", "h", "cls", "c", "cells", "cell", "n"])
+
+    return run
+
+
+NEIGHBOURS_SCHEMA = "range long, batch long, h binary, cls binary, c binary, cells binary, cell binary, n binary"
+CHOSEN_SCHEMA = "range long, batch long, classes binary, class_words array<long>, class_tokens array<long>"
+
+
+def best_classes(n: np.ndarray, cls: np.ndarray, word: np.ndarray, cell: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each word the class under which the classes beside it are likeliest, given the class bigrams n.
+
+    (word, cell, times) are the sparse counts beside words, sorted by word. A
+    word's own tokens are left out of its present class, which ties do not
+    leave; no word joins the class of the end.
+    """
+    k, out, smooth = len(n), cls.copy(), 0.5
+    row, col = n.sum(1), n.sum(0)
+    gain = np.concatenate([np.log(n + smooth) - np.log(col + smooth * k)[None, :], (np.log(n + smooth) - np.log(row + smooth * k)[:, None]).T])
+    for at in range(0, len(cls), 16384):
+        x, y = np.searchsorted(word, [at, at + 16384])
+        w, d, t = word[x:y] - at, cell[x:y], times[x:y].astype(float)
+        a = cls[at : at + 16384]
+        beside = np.zeros((len(a), 2 * k))
+        beside[w, d] = t
+        score = beside @ gain
+        left = d < k
+        mine, c = a[w], d % k
+        now = np.where(left, n[c, mine], n[mine, c])
+        own = np.where(left, beside[:, :k].sum(1)[w], beside[:, k:].sum(1)[w])
+        total = np.where(left, col[mine], row[mine])
+        less = np.log(np.maximum(now - t, 0) + smooth) - np.log(np.maximum(total - own, 0) + smooth * k) - gain[d, mine]
+        i = np.arange(len(a))
+        score[i, a] += np.bincount(w, weights=t * less, minlength=len(a))
+        score[:, END] = -np.inf
+        best = score.argmax(1)
+        out[at : at + 16384] = np.where(score[i, best] > score[i, a] + 1e-9, best, a)
+    return out
+
+
+def _choose(n: np.ndarray):
+    """Rows sorted by range: for each batch the classes of its words there, and one row of words and tokens by class."""
+    k = len(n)
+
+    def chosen(key, rows):
+        unpack, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        read = lambda i, kind: np.concatenate([np.frombuffer(unpack(r[i]), kind) for r in rows]).astype(np.int64)
+        own, first, place = np.unique(np.concatenate([np.frombuffer(r[1], "<u8") for r in rows]), return_index=True, return_inverse=True)
+        cls = read(2, "<u2")[first]
+        total = np.bincount(place, weights=read(3, "<u4"), minlength=len(own)).astype(np.int64)
+        cell, at = np.unique(np.repeat(place, read(4, "<u4")) * 2 * k + read(5, "<u2"), return_inverse=True)
+        times = np.bincount(at, weights=read(6, "<u4"), minlength=len(cell))
+        moving = np.flatnonzero((total >= LEAST) & (np.bincount(cell // (2 * k), minlength=len(own)) > 0))
+        number = np.full(len(own), -1)
+        number[moving] = np.arange(len(moving))
+        word = number[cell // (2 * k)]
+        cls[moving] = best_classes(n, cls[moving], word[word >= 0], (cell % (2 * k))[word >= 0], times[word >= 0])
+        parts = np.split(cls[place], np.cumsum([len(r[1]) // 8 for r in rows])[:-1])
+        facts = np.bincount(cls[total > 0], minlength=k).tolist(), np.bincount(cls, weights=total, minlength=k).astype(np.int64).tolist()
+        columns = [[key] * (len(rows) + 1), [*(r[0] for r in rows), None], [*(press(p.astype("<u2").tobytes()) for p in parts), None], *([None] * len(rows) + [x] for x in facts)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], [c.split()[0] for c in CHOSEN_SCHEMA.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if rows and r[0] != key:
+                    yield chosen(key, rows)
+                    rows = []
+                key = r[0]
+                rows.append(r[1:])
+        if rows:
+            yield chosen(key, rows)
+
+    return run
+
+
+LABELLED_SCHEMA = "doc_ids binary, nulls binary, held binary, lengths binary, known binary, base binary, emission binary, classes binary"
+
+
+def _label(model: ClassModel):
+    """Batches with counts and classes of their words -> sums over each text that need no class bigrams, and the classes of all tokens."""
     v = model.vocabulary
     tokens, words = v.tokens + v.texts, v.words + int(v.texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, batch, counts = zstandard.ZstdDecompressor(), None, []
+        unpack, press, batch, counts, classes = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), None, [], []
         for b in batches:
             for row in b.to_pylist():
                 if row["batch"] != batch:
-                    batch, counts = row["batch"], []
+                    batch, counts, classes = row["batch"], [], []
                 if row["kind"] == 0:
                     counts.append(np.frombuffer(unpack.decompress(row["counts"]), "<i8"))
                     continue
-                units = v.unit_of(np.frombuffer(row["h"], "<u8"), np.frombuffer(row["pool"], "<u2"))
+                if row["kind"] == 1:
+                    classes.append(np.frombuffer(unpack.decompress(row["counts"]), "<u2"))
+                    continue
                 count = np.concatenate([*counts, [v.texts]])  # the last is the end's
-                of = np.r_[model.cls[units], model.cls[END]]
+                of = np.concatenate([*classes, [model.cls[END]]]).astype(np.int64)
                 base = np.log10((count + ALPHA) / (tokens + ALPHA * (words + 1)))
                 emit = model.log_emission(count, of)
-                word, _, starts = _sequence(row, units)
-                c = of[word]
-                score = emit[word] + model.log_trans[np.r_[model.cls[END], c[:-1]], c]
-                sums = [np.add.reduceat(x, starts) for x in (base[word], score, (count[word] > 0).astype(np.int64))]
-                ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], dtype=bool)
+                word, _, starts = _sequence(row, of[:-1])
                 n = np.diff(np.r_[starts, len(word)])
+                sums = [np.add.reduceat(x, starts) for x in ((count[word] > 0).astype("<i8"), base[word], emit[word])]
+                out = (row["doc_ids"], row["nulls"], row["held"], n.astype("<i8").tobytes(), *(x.tobytes() for x in sums), press.compress(of[word].astype("<u2").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in LABELLED_SCHEMA.split(", ")])
+
+    return run
+
+
+def _class_sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class before each token, its class, and the numbers of tokens of texts."""
+    c = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["classes"]), "<u2").astype(np.int64)
+    return np.r_[c[-1:], c[:-1]], c, np.frombuffer(row["lengths"], "<i8")  # the last token is an end, and a text follows the end of another
+
+
+def _class_bigrams(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                before, c, n = _class_sequence(row)
+                own = np.repeat(~np.frombuffer(row["held"], dtype=bool), n)
+                total += np.bincount(before[own] * k + c[own], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["n"])
+
+    return run
+
+
+def _scorer(model: ClassModel):
+    tokens = model.vocabulary.tokens + model.vocabulary.texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                before, c, n = _class_sequence(row)
+                ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], dtype=bool)
+                score = np.frombuffer(row["emission"], "<f8") + np.add.reduceat(model.log_trans[before, c], np.cumsum(n) - n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=nulls), pa.array(np.frombuffer(row["held"], dtype=bool)), pa.array(n), pa.array(sums[2]), pa.array(np.full(len(n), tokens, dtype=np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    [pa.array(ids, mask=nulls), pa.array(np.frombuffer(row["held"], dtype=bool)), pa.array(n), pa.array(np.frombuffer(row["known"], "<i8")), pa.array(np.full(len(n), tokens, dtype=np.int64)), pa.array(np.frombuffer(row["base"], "<f8")), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -384,8 +536,23 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
     for x in lines:
         matrix[x["a"]] = x["n"]
     model = ClassModel.learn(vocabulary, matrix, classes)
-    fields = ["batch", "kind", "range", "counts", "doc_ids", "nulls", "held", "lengths", "tokens", "h", "pool"]
-    back = merged.where("batch is not null").select("batch", F.lit(0).alias("kind"), "range", "counts", *[F.lit(None).cast("binary").alias(c) for c in fields[4:]])
-    whole = batched.select("batch", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("range"), F.lit(None).cast("binary").alias("counts"), *fields[4:])
-    met = back.union(whole).repartition(n, "batch").sortWithinPartitions("batch", "kind", "range")
-    return met.mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    hot = np.eye(classes)[model.cls]
+    beside = batched.mapInArrow(_neighbours(model, bits + 1), NEIGHBOURS_SCHEMA).repartition(n, "range").sortWithinPartitions("range", "batch")
+    chosen = materialize(beside.mapInArrow(_choose(hot.T @ matrix @ hot), CHOSEN_SCHEMA), "word-classes")
+    model.class_words, model.class_tokens = np.zeros(classes), np.zeros(classes)
+    for x in chosen.where("batch is null").select(F.posexplode(F.arrays_zip("class_words", "class_tokens")).alias("c", "x")).groupBy("c").agg(F.sum("x.class_words").alias("w"), F.sum("x.class_tokens").alias("t")).collect():
+        model.class_words[x["c"]], model.class_tokens[x["c"]] = x["w"], x["t"]
+    model.class_words[model.cls[END]] += int(texts > 0)
+    model.class_tokens[model.cls[END]] += texts
+    fields = ["batch", "kind", "range", "counts", "doc_ids", "nulls", "held", "lengths", "tokens"]
+    none = [F.lit(None).cast("binary").alias(c) for c in fields[4:]]
+    back = merged.where("batch is not null").select("batch", F.lit(0).alias("kind"), "range", "counts", *none)
+    moved = chosen.where("batch is not null").select("batch", F.lit(1).alias("kind"), "range", F.col("classes").alias("counts"), *none)
+    whole = batched.select("batch", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("range"), F.lit(None).cast("binary").alias("counts"), *fields[4:])
+    met = back.union(moved).union(whole).repartition(n, "batch").sortWithinPartitions("batch", "kind", "range")
+    labelled = materialize(met.mapInArrow(_label(model), LABELLED_SCHEMA), "labelled")
+    pairs = np.zeros((classes, classes))
+    for x in labelled.select("held", "lengths", "classes").coalesce(tasks).mapInArrow(_class_bigrams(classes), "n array<long>").collect():
+        pairs += np.array(x["n"]).reshape(classes, classes)
+    model.log_trans = ClassModel.transitions(pairs)
+    return labelled.mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -123,3 +123,16 @@ def test_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(queries.queries()) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_rare_words_choose_their_class(make_docs):
+    """Words of two uses share one pool; only classes of their own tell which of them comes next."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{r.randrange(150)}ing" for k in range(40))) for i in range(600)]
+    starts = [(1000 + i, " ".join(f"{w}{r.randrange(150)}ing" for w in ("a", "b") for _ in "1")) for i in range(300)]
+    rows += starts
+    out = brown_lm.score_texts(make_docs(rows), units=2, classes=6).collect()
+    check_base(out, rows)
+    test = [x for x in out if x["held_out"] and x["n_tokens"] > 10]
+    gain = sum(x["score"] - x["base_score"] for x in test) / sum(x["n_tokens"] for x in test)
+    assert len(test) > 20 and gain > 0.25  # of log10(2) = 0.30 that the use of the last word is worth
