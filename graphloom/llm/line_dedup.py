@@ -4,7 +4,9 @@ Lines without a word are not compared. A gram is the shortest run of lines
 from a line on that has GRAM words; the reach of a line is the shortest run
 from it that has RUN words. The fingerprint of a line is the least gram hash
 within its reach. Any run of RUN words holds the reach of its first line, so
-two equal runs share a fingerprint whatever surrounds them.
+two equal runs share a fingerprint whatever surrounds them. A match is extended
+against the first document of its gram alone; with ``every``, reaches that
+occur earlier in any other are found too, by the hash of the whole reach.
 """
 
 from __future__ import annotations
@@ -39,35 +41,46 @@ def _ends(words: Column, least: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words)), end)
 
 
-def fingerprints(arrays: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """The selected grams: doc_id, tx, p (place among lines with words, from 1), fp."""
-    line = arrays.select("doc_id", "tx", F.posexplode(F.arrays_zip("hs", "ws")).alias("p", "x")).select("doc_id", "tx", (F.col("p") + 1).alias("p"), "x.hs", "x.ws")
+def reaches(arrays: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """The lines with a reach: doc_id, tx, p (place among lines with words, from 1), a and b (places of its first and last line among all lines), whole (hash of the reach), g (least gram: fp, p)."""
+    line = arrays.select("doc_id", "tx", F.posexplode(F.arrays_zip("hs", "ws", "places")).alias("p", "x")).select("doc_id", "tx", (F.col("p") + 1).alias("p"), "x.hs", "x.ws", F.col("x.places").alias("place"))
     doc = Window.partitionBy("doc_id", "tx").orderBy("p")
     start = F.sum("ws").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ws")
-    reach = F.collect_list(F.struct("p", "hs", "ws")).over(Window.partitionBy("doc_id", "tx").orderBy("start").rangeBetween(0, run - 1))
+    reach = F.collect_list(F.struct("p", "hs", "ws", "place")).over(Window.partitionBy("doc_id", "tx").orderBy("start").rangeBetween(0, run - 1))
     line = line.withColumn("start", start).withColumn("reach", reach)
     counts = F.transform("reach", lambda x: x.ws)
     enough = F.aggregate(counts, F.lit(0), lambda a, w: a + w) >= run
-    line = line.where(enough).select("doc_id", "tx", "p", "reach", _ends(counts, gram).alias("ends"))
+    line = line.where(enough).select("doc_id", "tx", "p", "place", "reach", _ends(counts, gram).alias("ends"))
+
+    def fold(lines: Column) -> Column:
+        return F.aggregate(lines, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x.hs))
+
     grams = F.transform(
         "ends",
-        lambda e, i: F.when(e.isNotNull(), F.struct(F.aggregate(F.slice("reach", i + 1, e - i), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x.hs)).alias("fp"), F.get("reach", i).p.alias("p"))),
+        lambda e, i: F.when(e.isNotNull(), F.struct(fold(F.slice("reach", i + 1, e - i)).alias("fp"), F.get("reach", i).p.alias("p"))),
     )
-    best = line.select("doc_id", "tx", F.array_min(F.filter(grams, lambda g: g.isNotNull())).alias("g"))
-    return best.select("doc_id", "tx", F.col("g.p").alias("p"), F.col("g.fp").alias("fp")).distinct()
+    best = F.array_min(F.filter(grams, lambda g: g.isNotNull())).alias("g")
+    return line.select("doc_id", "tx", "p", F.col("place").alias("a"), F.element_at("reach", -1).place.alias("b"), fold(F.col("reach")).alias("whole"), best)
+
+
+def _later(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows (doc_id, tx, p, ...) with the first of their key, without those that are it."""
+    first = rows.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, name)  # a join with an aggregate could not split a key that many documents share
+    return rows.join(first, key).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("p") == F.col("first.p"))))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM, every: bool = False) -> DataFrame:
     """doc_id, tx, cuts: the runs of lines (from, to; places among all lines) that occur earlier, by (doc_id, tx, place).
 
-    A selected gram is compared with the first of its kind only; the match is
+    A selected gram is compared with the first of its kind; the match is
     extended both ways over equal lines, and counts if it has ``gram`` words.
+    With ``every``, all reaches that occur earlier are cut besides, wherever that is.
     """
     arrays = materialize(_line_arrays(docs).dropDuplicates(["doc_id", "tx"]), "line-arrays")
-    chosen = materialize(fingerprints(arrays, run, gram), "line-fingerprints")
-    first = chosen.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first, "first-fingerprints")  # a join with an aggregate could not split a gram that many documents share
-    met = chosen.join(first, "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("p") == F.col("first.p"))))
+    reach = materialize(reaches(arrays, run, gram), "line-reaches")
+    chosen = materialize(reach.select("doc_id", "tx", F.col("g.p").alias("p"), F.col("g.fp").alias("fp")).distinct(), "line-fingerprints")
+    met = _later(chosen, "fp", "first-fingerprints")
     pairs = met.select("doc_id", "tx", F.col("first.doc_id").alias("doc0"), F.col("first.tx").alias("tx0"), (F.col("p") - F.col("first.p")).alias("shift")).distinct()
     mine = arrays.select("doc_id", "tx", "hs", "ws", "places")
     theirs = arrays.select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), F.col("hs").alias("hs0"))
@@ -79,10 +92,15 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     key = ["doc_id", "tx", "doc0", "tx0", "shift"]
     at = at.withColumn("run", F.col("q") - F.row_number().over(Window.partitionBy(*key).orderBy("q")))
     runs = at.groupBy(*key, "run").agg(F.sum("w").alias("words"), F.min("place").alias("a"), F.max("place").alias("b")).where(F.col("words") >= gram)
+    if every:
+        again = _later(reach.select("doc_id", "tx", "p", "a", "b", "whole"), "whole", "first-reaches").select("doc_id", "tx", "p", "a", "b")
+        again = again.withColumn("run", F.col("p") - F.row_number().over(Window.partitionBy("doc_id", "tx").orderBy("p")))
+        again = again.groupBy("doc_id", "tx", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc_id", "tx", "a", "b")
+        runs = runs.select("doc_id", "tx", "a", "b").union(again)
     return runs.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, every: bool = False) -> DataFrame:
     """The rows of docs with later repeated runs of lines taken out of text; __lg_lines and __lg_cut count lines.
 
     Every row stays, also if nothing is left of its text; null texts stay null;
@@ -90,7 +108,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     text; rows that share both count as one document and all get its result;
     other columns are unchanged. No rows give no rows.
     """
-    cuts = repeated_runs(docs, run, gram).select(F.col("doc_id").alias("__lg_id"), F.col("tx").alias("__lg_tx"), F.col("cuts").alias("__lg_cuts"))
+    cuts = repeated_runs(docs, run, gram, every).select(F.col("doc_id").alias("__lg_id"), F.col("tx").alias("__lg_tx"), F.col("cuts").alias("__lg_cuts"))
     tagged = docs.withColumn("__lg_text", F.xxhash64(text_or_empty()))
     met = tagged.join(cuts, F.col("doc_id").eqNullSafe(F.col("__lg_id")) & (F.col("__lg_text") == F.col("__lg_tx")), "left")
     lines = F.split("text", "\n")

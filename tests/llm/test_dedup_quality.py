@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import line_dedup, quality, simhash
+from graphloom.llm import line_dedup, quality, queries, simhash
 
 
 def plain_fingerprint(text):
@@ -210,6 +210,22 @@ def test_line_dedup_by_plain_rules(make_docs, seed):
     assert counts[100] == (0, 0) and counts[103][1] >= 35
 
 
+def test_runs_that_are_not_in_the_first_document(make_docs, spark, tmp_path):
+    """The first document has only the gram that is least in a passage of two later ones."""
+    r = random.Random(7)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(10))
+    rows = []
+    for _ in range(150):
+        passage = [line() for _ in range(7)]
+        at = r.randrange(0, 5)
+        for part in (passage[at : at + 3], passage, passage):
+            rows.append((len(rows), "\n".join([line() for _ in range(3)] + part + [line() for _ in range(3)])))
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["text"].split("\n") for x in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    left = {doc for doc, text in rows if doc % 3 == 2 and got[doc] != text.split("\n")[:3] + text.split("\n")[-3:]}
+    assert not left
+
+
 def test_clean_lines_stay(make_docs):
     r = random.Random(2)
     rows = [(i, "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(9)) + "\nAll rights reserved.") for i in range(30)]
