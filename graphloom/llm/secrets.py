@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .crf import ChainCrf, Features, train, viterbi
 
-#: The field is fitted on about this many documents at most.
+#: The field is fitted on about this many documents with a span of the rules at most, and as many without.
 SAMPLE = 4000
 DIM = 1 << 14
 KINDS = ("assign", "access", "hex", "crf")
@@ -26,6 +26,15 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+# The same in Java's patterns.
+_ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_OTHER_SQL = "AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+
+
+def has_span(text: str = "text") -> Column:
+    """Whether base_spans() finds any."""
+    return F.col(text).rlike(_OTHER_SQL) | F.exists(F.regexp_extract_all(text, F.lit(_ASSIGN_SQL), 1), lambda x: F.length(x) >= 6)
+
 
 _DIGIT_RUN = re.compile(r"[0-9][A-Za-z0-9+/_.-]*")
 _RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
@@ -126,18 +135,24 @@ def _labels(island: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> ChainCrf | None:
-    """Learn from the spans that the rules find in a bounded sample; None if they find none there.
+    """Learn from the spans that the rules find in a bounded sample; None if they find none in any document.
+
+    All documents are scanned, and those with a span and those without are
+    sampled each for themselves, so rare secrets are learned from at any size.
 
     Labels come from rules that look at key words, so each island is learned
     twice, the second time without what stands before its tokens: else shapes
     would have nothing to explain.
     """
-    n = docs.count()
-    if not n:
+    rows = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike("[0-9]"))
+    marked = rows.select("text", has_span().alias("has"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("draw"))
+    n = {r["has"]: r["count"] for r in marked.groupBy("has").count().collect()}
+    if not n.get(True):
         return None
     span = 1 << 40
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span)) < int(span * min(1.0, sample / n)))
-    texts = sorted(r["text"] for r in part.where(F.col("text").rlike("[0-9]")).select("text").limit(2 * sample).collect())
+    most = F.when(F.col("has"), int(span * min(1.0, sample / n[True]))).otherwise(int(span * min(1.0, sample / n.get(False, 1))))
+    part = marked.where(F.pmod("draw", F.lit(span)) < most)
+    texts = sorted(r["text"] for r in part.select("text").limit(3 * sample).collect())
     indptr, indices, sequences = [0], [], []
     positive = False
     for text in texts:
