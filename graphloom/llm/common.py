@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folders to delete at the end of each open temporary_tables(), the innermost last.
+_frames: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,25 +30,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write the rows to the shared folder and read them again.
 
     It cuts the lineage like a checkpoint, yet columnar and compressed, and a
-    lost executor loses none of it.
+    lost executor loses none of it. The table goes with the innermost
+    temporary_tables(), with ``outlives`` with the one around that, and at the
+    latest with the session.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, folder = _file_system(spark, path)
+    fs.deleteOnExit(folder)
+    if frames := _frames[: -1 if outlives else None]:
+        frames[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what materialize() writes inside, once done."""
+    _frames.append([])
+    try:
+        yield
+    finally:
+        for path in _frames.pop():
+            fs, folder = _file_system(spark, path)
+            fs.delete(folder, True)
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if files := df.inputFiles():
+        fs, file = _file_system(df.sparkSession, files[0])
+        fs.delete(file.getParent(), True)
 
 
 def text_or_empty(col: str = "text"):
@@ -53,3 +78,18 @@ def text_or_empty(col: str = "text"):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def running(rows: DataFrame, order: list, sums: dict[str, Column], name: str) -> DataFrame:
+    """Also the sums over all rows up to and with each, in the order of ``order``, without one task for all.
+
+    Rows are cut into ranges of the order; sums within a range are shifted by
+    those of the ranges before it, of which there are as many as shuffle partitions.
+    """
+    cut = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), name)
+    totals = cut.groupBy("__range").agg(*(F.sum(x).alias(k) for k, x in sums.items()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(F.col("__range").alias("__at"), *(F.sum(k).over(ahead).alias(f"__{k}") for k in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = cut.select("*", *(F.sum(x).over(inside).alias(k) for k, x in sums.items())).join(F.broadcast(shifts), F.col("__range") == F.col("__at"))
+    return met.select(*rows.columns, *((F.col(k) + F.coalesce(F.col(f"__{k}"), F.lit(0))).alias(k) for k in sums))

@@ -4,9 +4,14 @@ Lines without a word are not compared. A gram is the shortest run of lines
 from a line on that has GRAM words; the reach of a line is the shortest run
 from it that has RUN words. The fingerprint of a line is the least gram hash
 within its reach. Any run of RUN words holds the reach of its first line, so
-two equal runs share a fingerprint whatever surrounds them. A match is extended
-against the first document of its gram alone; with ``every``, reaches that
-occur earlier in any other are found too, by the hash of the whole reach.
+two equal runs share a fingerprint whatever surrounds them.
+
+Cut are the lines of reaches that occur earlier, by the hash of the whole
+reach, and around each fingerprint that occurs earlier the run of lines that
+equal those around its first occurrence, followed RUN words each way: what
+goes on further holds whole reaches. So each match is compared with a bounded
+stretch of one other text, however often a passage repeats in a text or in the
+corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, materialize, temporary_tables, text_or_empty
 
 RUN = 50
 GRAM = 25
@@ -27,40 +32,24 @@ def _line_arrays(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tx", F.transform("x", lambda x: F.xxhash64(x.l)).alias("hs"), F.transform("x", lambda x: x.w).alias("ws"), F.transform("x", lambda x: x.i).alias("places"))
 
 
-def _ends(words: Column, least: int) -> Column:
-    """Over an array of word counts: for each place the last place of the shortest run from it that has ``least`` words, or null."""
-
-    def end(i: Column) -> Column:
-        run = F.aggregate(
-            F.slice(words, i, F.size(words)),
-            F.struct(F.lit(0).alias("sum"), (i - 1).alias("at")),
-            lambda acc, w: F.when(acc.sum >= least, acc).otherwise(F.struct((acc.sum + w).alias("sum"), (acc.at + 1).alias("at"))),
-        )
-        return F.when(run.sum >= least, run.at)
-
-    return F.transform(F.sequence(F.lit(1), F.size(words)), end)
-
-
 def reaches(arrays: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """The lines with a reach: doc_id, tx, p (place among lines with words, from 1), a and b (places of its first and last line among all lines), whole (hash of the reach), g (least gram: fp, p)."""
-    line = arrays.select("doc_id", "tx", F.posexplode(F.arrays_zip("hs", "ws", "places")).alias("p", "x")).select("doc_id", "tx", (F.col("p") + 1).alias("p"), "x.hs", "x.ws", F.col("x.places").alias("place"))
+    line = arrays.select("doc_id", "tx", F.posexplode(F.arrays_zip("hs", "ws", "places")).alias("q", "x")).select("doc_id", "tx", (F.col("q") + 1).alias("p"), "x.hs", "x.ws", "x.places")
     doc = Window.partitionBy("doc_id", "tx").orderBy("p")
-    start = F.sum("ws").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ws")
-    reach = F.collect_list(F.struct("p", "hs", "ws", "place")).over(Window.partitionBy("doc_id", "tx").orderBy("start").rangeBetween(0, run - 1))
-    line = line.withColumn("start", start).withColumn("reach", reach)
-    counts = F.transform("reach", lambda x: x.ws)
-    enough = F.aggregate(counts, F.lit(0), lambda a, w: a + w) >= run
-    line = line.where(enough).select("doc_id", "tx", "p", "place", "reach", _ends(counts, gram).alias("ends"))
+    line = line.withColumn("start", F.sum("ws").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ws"))
+    of = Window.partitionBy("doc_id", "tx").orderBy("start")
+    lines = F.collect_list(F.struct("hs", "ws", "places", "start"))
+    line = line.withColumns({"reach": lines.over(of.rangeBetween(0, run - 1)), "gram": lines.over(of.rangeBetween(0, gram - 1))})
 
-    def fold(lines: Column) -> Column:
-        return F.aggregate(lines, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x.hs))
+    def words(x: str) -> Column:
+        last = F.element_at(x, -1)
+        return last.start + last.ws - F.col("start")
 
-    grams = F.transform(
-        "ends",
-        lambda e, i: F.when(e.isNotNull(), F.struct(fold(F.slice("reach", i + 1, e - i)).alias("fp"), F.get("reach", i).p.alias("p"))),
-    )
-    best = F.array_min(F.filter(grams, lambda g: g.isNotNull())).alias("g")
-    return line.select("doc_id", "tx", "p", F.col("place").alias("a"), F.element_at("reach", -1).place.alias("b"), fold(F.col("reach")).alias("whole"), best)
+    fp = F.when(words("gram") >= gram, F.xxhash64("gram.hs"))
+    line = line.select("doc_id", "tx", "p", "places", "start", "reach", fp.alias("fp"), F.element_at("gram", -1).start.alias("last"))
+    line = line.withColumn("grams", F.collect_list(F.struct("fp", "p", "last")).over(of.rangeBetween(0, run - 1)))
+    least = F.array_min(F.filter("grams", lambda g: g.fp.isNotNull() & (g["last"] < F.col("start") + run)))
+    return line.where(words("reach") >= run).select("doc_id", "tx", "p", F.col("places").alias("a"), F.element_at("reach", -1).places.alias("b"), F.xxhash64("reach.hs").alias("whole"), least.alias("g"))
 
 
 def _later(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -70,55 +59,84 @@ def _later(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(first, key).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("p") == F.col("first.p"))))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM, every: bool = False) -> DataFrame:
-    """doc_id, tx, cuts: the runs of lines (from, to; places among all lines) that occur earlier, by (doc_id, tx, place).
+def _around(arrays: DataFrame, spots: DataFrame, run: int) -> DataFrame:
+    """spots (doc_id, tx, p, fp, is_first) -> also the lines that begin less than ``run`` words after p begins (after), and up to ``run`` words before (before, the nearest last).
 
-    A selected gram is compared with the first of its kind; the match is
-    extended both ways over equal lines, and counts if it has ``gram`` words.
-    With ``every``, all reaches that occur earlier are cut besides, wherever that is.
+    Spots are laid beside the lines of their text, which the windows read as rows of a line each.
     """
-    arrays = materialize(_line_arrays(docs).dropDuplicates(["doc_id", "tx"]), "line-arrays")
-    reach = materialize(reaches(arrays, run, gram), "line-reaches")
-    chosen = materialize(reach.select("doc_id", "tx", F.col("g.p").alias("p"), F.col("g.fp").alias("fp")).distinct(), "line-fingerprints")
-    met = _later(chosen, "fp", "first-fingerprints")
-    pairs = met.select("doc_id", "tx", F.col("first.doc_id").alias("doc0"), F.col("first.tx").alias("tx0"), (F.col("p") - F.col("first.p")).alias("shift")).distinct()
-    mine = arrays.select("doc_id", "tx", "hs", "ws", "places")
-    theirs = arrays.select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), F.col("hs").alias("hs0"))
-    pairs = pairs.alias("a").join(mine.alias("m"), F.col("a.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("a.tx") == F.col("m.tx"))).select("a.*", "hs", "ws", "places")
-    pairs = pairs.join(theirs, F.col("doc0").eqNullSafe(F.col("d")) & (F.col("tx0") == F.col("t")))
-    same = F.zip_with("hs", F.transform("hs", lambda _, i: F.when(i - F.col("shift") >= 0, F.get("hs0", i - F.col("shift")))), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = pairs.select("doc_id", "tx", "doc0", "tx0", "shift", F.posexplode(F.arrays_zip(same.alias("same"), F.col("ws"), F.col("places"))).alias("q", "x"))
-    at = at.where("x.same").select("doc_id", "tx", "doc0", "tx0", "shift", "q", F.col("x.ws").alias("w"), F.col("x.places").alias("place"))
-    key = ["doc_id", "tx", "doc0", "tx0", "shift"]
-    at = at.withColumn("run", F.col("q") - F.row_number().over(Window.partitionBy(*key).orderBy("q")))
-    runs = at.groupBy(*key, "run").agg(F.sum("w").alias("words"), F.min("place").alias("a"), F.max("place").alias("b")).where(F.col("words") >= gram)
-    if every:
-        again = _later(reach.select("doc_id", "tx", "p", "a", "b", "whole"), "whole", "first-reaches").select("doc_id", "tx", "p", "a", "b")
-        again = again.withColumn("run", F.col("p") - F.row_number().over(Window.partitionBy("doc_id", "tx").orderBy("p")))
-        again = again.groupBy("doc_id", "tx", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc_id", "tx", "a", "b")
-        runs = runs.select("doc_id", "tx", "a", "b").union(again)
-    return runs.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("cuts"))
-
-
-def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, every: bool = False) -> DataFrame:
-    """The rows of docs with later repeated runs of lines taken out of text; __lg_lines and __lg_cut count lines.
+    by_text = spots.groupBy(F.col("doc_id").alias("d"), F.col("tx").alias("t")).agg(F.array_sort(F.collect_list(F.struct("p", "fp", "is_first"))).alias("spots"))
+    met = arrays.join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t")))
+    last = F.concat(F.transform(F.slice("spots", 1, 1), lambda s: F.lit(0)), F.transform("spots", lambda s: s.p))
+    none = F.lit(None).cast("struct<p: int, fp: bigint, is_first: boolean>")
+    beside = F.flatten(F.zip_with("spots", F.slice(last, F.lit(1), F.size("spots")), lambda s, o: F.concat(F.array_repeat(none, s.p - o - 1), F.array(s))))
+    line = met.select("doc_id", "tx", F.posexplode(F.arrays_zip("hs", "ws", "places", beside.alias("spot"))).alias("q", "x")).select("doc_id", "tx", "q", "x.*")
+    doc = Window.partitionBy("doc_id", "tx").orderBy("q")
+    line = line.withColumn("start", F.sum("ws").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ws"))
+    lines, of = F.collect_list(F.struct("hs", "places")), Window.partitionBy("doc_id", "tx").orderBy("start")
+    line = line.withColumns({"after": lines.over(of.rangeBetween(0, run - 1)), "before": lines.over(of.rangeBetween(-run, -1))})
+    return line.where(F.col("spot").isNotNull()).select("doc_id", "tx", "spot.*", "after", "before")
+
+
+def _equal(mine: Column | str, theirs: Column | str) -> Column:
+    """How many lines are equal from the first on."""
+    same = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x.hs == y.hs, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """doc_id, tx, cuts: the disjoint rising runs of lines (a to b; places among all lines) that occur earlier, by (doc_id, tx, place)."""
+    with temporary_tables(docs.sparkSession):
+        arrays = materialize(_line_arrays(docs).dropDuplicates(["doc_id", "tx"]), "line-arrays")
+        reach = materialize(reaches(arrays, run, gram), "line-reaches")
+        chosen = materialize(reach.select("doc_id", "tx", F.col("g.p").alias("p"), F.col("g.fp").alias("fp")).distinct(), "line-fingerprints")
+        met = materialize(_later(chosen, "fp", "first-fingerprints"), "repeated-fingerprints")
+        firsts = met.select("first.doc_id", "first.tx", "first.p", "fp").distinct()
+        spots = met.select("doc_id", "tx", "p", "fp", F.lit(False).alias("is_first")).union(firsts.withColumn("is_first", F.lit(True)))
+        around = materialize(_around(arrays, spots, run), "contexts")
+        theirs = around.where("is_first").select("fp", F.col("after").alias("after0"), F.col("before").alias("before0"))
+        matched = around.where("NOT is_first").join(theirs, "fp").withColumn("on", _equal("after", "after0")).withColumn("back", _equal(F.reverse("before"), F.reverse("before0")))
+        matched = matched.where("on > 0").select(
+            "doc_id", "tx",
+            F.when(F.col("back") > 0, F.element_at("before", -F.col("back")).places).otherwise(F.get("after", F.lit(0)).places).alias("a"),
+            F.get("after", F.col("on") - 1).places.alias("b"),
+        )
+        again = _later(reach.select("doc_id", "tx", "p", "a", "b", "whole"), "whole", "first-reaches").select("doc_id", "tx", "a", "b")
+        rows = matched.union(again)
+        upto = F.max("b").over(Window.partitionBy("doc_id", "tx").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("new", F.coalesce(F.col("a") > upto + 1, F.lit(True)).cast("int"))
+        rows = rows.withColumn("k", F.sum("new").over(Window.partitionBy("doc_id", "tx").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        runs = rows.groupBy("doc_id", "tx", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        return materialize(runs.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts")), "line-cuts", outlives=True)
+
+
+def _cut(docs: DataFrame, run: int, gram: int) -> DataFrame:
+    """r (the row of docs), text without its cuts, lines and cut (how many there were and went)."""
+    cuts = repeated_runs(docs, run, gram).select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "cuts")
+    rows = docs.select(F.struct("*").alias("r")).select("r", F.xxhash64(F.coalesce("r.text", F.lit(""))).alias("x"))
+    met = rows.join(cuts, F.col("r.doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")), "left")
+    # from the end of the cut before: lines that stay, then lines that go; those after the last cut stay
+    gone = F.flatten(F.zip_with("cuts", F.slice(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.col("cuts")), F.lit(1), F.size("cuts")), lambda c, o: F.concat(F.array_repeat(F.lit(False), c.a - o.b - 1), F.array_repeat(F.lit(True), c.b - c.a + 1))))
+    lines = F.split("r.text", "\n")
+    kept = F.transform(F.filter(F.zip_with(lines, gone, lambda l, g: F.struct(l.alias("l"), g.alias("g"))), lambda x: ~F.coalesce(x.g, F.lit(False))), lambda x: x.l)
+    met = met.select("r", F.when(F.col("r.text").isNull(), 0).otherwise(F.size(lines)).alias("lines"), F.when(F.col("cuts").isNotNull(), kept).alias("kept"))
+    text = F.when(F.col("kept").isNull(), F.col("r.text")).otherwise(F.array_join("kept", "\n"))
+    return met.select("r", text.alias("text"), "lines", F.when(F.col("kept").isNull(), 0).otherwise(F.col("lines") - F.size("kept")).alias("cut"))
+
+
+def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """The rows of docs with later repeated runs of lines taken out of text.
 
     Every row stays, also if nothing is left of its text; null texts stay null;
     the order of documents is that of doc_id, null last, then of a hash of the
     text; rows that share both count as one document and all get its result;
-    other columns are unchanged. No rows give no rows.
+    other columns, whatever their names, are unchanged. A text of very many
+    lines, or one line repeated throughout, costs time in proportion to its
+    lines; its lines are handled by one task. No rows give no rows.
     """
-    cuts = repeated_runs(docs, run, gram, every).select(F.col("doc_id").alias("__lg_id"), F.col("tx").alias("__lg_tx"), F.col("cuts").alias("__lg_cuts"))
-    tagged = docs.withColumn("__lg_text", F.xxhash64(text_or_empty()))
-    met = tagged.join(cuts, F.col("doc_id").eqNullSafe(F.col("__lg_id")) & (F.col("__lg_text") == F.col("__lg_tx")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("__lg_cuts", lambda c: (c.a <= i) & (i <= c.b)))
-    met = met.withColumn("__lg_lines", F.coalesce(F.size(lines), F.lit(0)))
-    met = met.withColumn("__lg_kept", F.when(F.col("__lg_cuts").isNotNull(), kept))
-    text = F.when(F.col("__lg_kept").isNull(), F.col("text")).otherwise(F.array_join("__lg_kept", "\n"))
-    cut = F.when(F.col("__lg_kept").isNull(), 0).otherwise(F.col("__lg_lines") - F.size("__lg_kept"))
-    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.col("__lg_lines")).alias("__lg_lines"), cut.alias("__lg_cut"))
-
-
-def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.col("__lg_lines").cast("long").alias("n_lines"), F.col("__lg_cut").cast("long").alias("n_removed"), "text")
+    found = _cut(docs, run, gram)
+    return found.select(*(F.col("text") if c == "text" else F.col("r").getField(c).alias(c) for c in docs.columns))
+
+
+def digest(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_lines, n_removed and the text that is left, of every row."""
+    return _cut(docs, run, gram).select("r.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("cut").cast("long").alias("n_removed"), "text")

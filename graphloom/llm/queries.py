@@ -42,7 +42,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its text without later repeated runs of lines, and how many lines it had and lost."""
-    return line_dedup.digest(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), run=50, gram=25, every=True))
+    return line_dedup.digest(read_table(spark, sf_dir, "documents"), run=50, gram=25)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
