@@ -113,7 +113,7 @@ def _cut(docs: DataFrame, run: int, gram: int) -> DataFrame:
     """r (the row of docs), text without its cuts, lines and cut (how many there were and went)."""
     cuts = repeated_runs(docs, run, gram).select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "cuts")
     rows = docs.select(F.struct("*").alias("r")).select("r", F.xxhash64(F.coalesce("r.text", F.lit(""))).alias("x"))
-    met = rows.join(cuts, F.col("r.doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")), "left")
+    met = rows.hint("merge").join(cuts, F.col("r.doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")), "left")
     # from the end of the cut before: lines that stay, then lines that go; those after the last cut stay
     gone = F.flatten(F.zip_with("cuts", F.slice(F.concat(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.col("cuts")), F.lit(1), F.size("cuts")), lambda c, o: F.concat(F.array_repeat(F.lit(False), c.a - o.b - 1), F.array_repeat(F.lit(True), c.b - c.a + 1))))
     lines = F.split("r.text", "\n")
