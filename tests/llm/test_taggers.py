@@ -154,6 +154,91 @@ def test_scan_keeps_base_and_adds_spans(make_docs):
     assert not any("crf" in out[i]["spans"] for i, *_ in rows if i % 4 == 1)
 
 
+def planted(seed, n=300):
+    """Prose with secrets that no rule finds, among them some without a digit, and with numbers that are none."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9)))
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows, where = [], {}
+    for i in range(n):
+        t = [word() for _ in range(r.randrange(30, 90))]
+        secret = "".join(r.choices(chars, k=r.randrange(18, 40)))
+        kind, at = i % 6, r.randrange(5, 20)
+        if kind == 0:
+            t[at:at] = ["the", "bearer", secret]
+        elif kind == 1:
+            t[at:at] = [secret]
+        elif kind == 2:
+            t[at:at] = ["passphrase", ":", secret.translate(str.maketrans("0123456789+/", "abcdefghijkl"))]
+        elif kind == 3:
+            t[at:at] = ["call", f"+{r.randrange(10**10, 10**11)}", "or", f"{word()}.{word()}{r.randrange(100)}@{word()}.org", f"10.{r.randrange(255)}.2.7", "4111-1111-2222-3333"]
+        if kind < 3:
+            where[i] = secret
+        rows.append((i, " ".join(t), "en", "s"))
+    return rows, where
+
+
+def keyed(seed, n=900):
+    """Prose of which a third has secrets that the rules find, and a third numbers that are none."""
+    rows, _ = planted(seed, n)
+    r = random.Random(seed)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    out = []
+    for i, text, *rest in rows:
+        if i % 6 < 3:
+            t = [w for w in text.split() if len(w) < 16]
+            digits = chars if i % 4 else chars[:52]
+            t.insert(r.randrange(len(t)), r.choice(["password=", "token: ", 'api_key="']) + "".join(r.choices(digits, k=r.randrange(16, 40))))
+            text = " ".join(t)
+        out.append((i, text, *rest))
+    return out
+
+
+def test_secrets_that_no_rule_finds(make_docs):
+    model = secrets.fit(make_docs(keyed(1)))
+    rows, where = planted(2)
+    assert not any(secrets.base_spans(t) for _, t, *_ in rows)
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(make_docs(rows), model).collect()}
+    found = {i: [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")] for i, spans in got.items() if spans}
+    places = {i: [m.span() for m in re.finditer(r"\S{18,}", rows[i][1])] for i in where}
+    recall = {k: sum(any(set(found.get(i, [])) & set(p) for p in [places[i]]) for i in where if i % 6 == k) / 50 for k in range(3)}
+    assert min(recall.values()) >= 0.9, recall
+    assert sum(i in found for i in got if i not in where) <= 3  # of 150 texts with numbers or plain words
+
+
+def test_tags_are_those_of_viterbi_over_the_whole_text(make_docs):
+    """Bounds and caches change nothing: scores from the features' definition, decoded token by token."""
+    model = secrets.fit(make_docs(keyed(3, 300)))
+    r = np.random.default_rng(0)
+    for noise in (0.0, 0.3, 1.0):
+        model.weights += noise * r.normal(size=model.weights.shape)
+        model.weights[0] = 0
+        model.trans += noise * r.normal(size=(3, 3))
+        tagger = secrets.Tagger(model, margin=float("-inf"), most=50)
+        tagger.BLOCK = 64
+        texts = [t for _, t, *_ in planted(4, 24)[0]] + ["", "x", " \n ", "password: hunter2!x", "\u00e9\u00e8 a.b.c _ --"]
+        got = [x for i in range(0, len(texts), 7) for x in tagger.spans(texts[i : i + 7])]
+        for text, spans in zip(texts, got):
+            tokens = secrets.tokens_of(text)
+            want = []
+            if tokens:
+                x = secrets.observations(tokens, secrets.text_features(tokens))
+                emit = np.array([model.weights[f].sum(0) for f in x])
+                trans = model.trans.copy()
+                trans[0, 2] = -1e9
+                tag = viterbi(emit, trans, trans[0], trans[:, 0])
+                at = [m.span() for m in secrets._TOKEN.finditer(text)]
+                i = 0
+                while i < len(tag):
+                    j = i + 1
+                    if tag[i] == 1:
+                        while j < len(tag) and tag[j] == 2:
+                            j += 1
+                        want.append((at[i][0], at[j - 1][1]))
+                    i = j
+            assert spans == want, text
+
+
 def test_scan_of_odd_rows(odd):
     df, rows = odd
     model = secrets.fit(df)
