@@ -1,7 +1,9 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
-from graphloom.llm import mixing
+from graphloom.llm import bitsliced, mixing
 from graphloom.llm.bitsliced import SlicedBlock, top_inner_products
 
 
@@ -37,6 +39,33 @@ def test_top_k_table(spark):
     assert top_inner_products(df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("round_bytes", [1 << 30, 500])
+def test_components_of_any_size(spark, monkeypatch, round_bytes):
+    """Finite components take part however large; ranks are exact, scores end where a long does."""
+    monkeypatch.setattr(bitsliced, "ROUND_BYTES", round_bytes)
+    monkeypatch.setattr(bitsliced, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    rows = [(int(i), [float(v) for v in r.normal(0, 0.3, 4)]) for i in range(60)]
+    rows += [(100, [1e20, 0.0, -1.0, 0.25]), (150, [-1e20, 1e20, 0.5, 0.0]), (101, [1e300, -1e300, 1.0, 2.0]), (102, [-1e300, 0.0, 0.0, 0.0]), (103, [3e9 + 0.3, -2.0**40 - 0.7, 1.0, 0.0]), (104, [1.7e308, 1.0, 1.0, 1.0])]
+    rows += [(200, [2.0**23, 2.0**23, 2.0**23, 2.0**23]), (201, [2.0**22.99] * 4), (202, [-(2.0**22.99)] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    q = {i: [int(Fraction(x) * 256 // 1) for x in v] for i, v in rows}
+    want = []
+    for i in (i for i in q if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:5]
+        want += [(i, k + 1, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in top_inner_products(df).collect()) == sorted(want)
+    order = sorted([0, 5, 2**63, 2**63 - 2, 2**63 - 1, 10**30, 10**29 + 1, -(2**63), -(2**63) + 1, -(10**30), -(10**25)])
+    assert sorted(order, key=bitsliced.as_long) == order
+
+
+def test_one_id_of_very_many_rows(spark):
+    hot = spark.range(100_000).selectExpr("1L AS vec_id", "array(float(id % 7), 1.0f, float(-id % 3)) AS embedding")
+    df = hot.union(spark.range(2, 61).selectExpr("id AS vec_id", "array(float(id), 0.0f, 1.0f) AS embedding"))
+    got = top_inner_products(df).orderBy("rank").collect()
+    assert [(x["query_id"], x["rank"], x["vec_id"]) for x in got] == [(50, 1, 60), (50, 2, 59), (50, 3, 58), (50, 4, 57), (50, 5, 56)]
+
+
 def water_fill(sizes, weights):
     """Targets by repeated resharing."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -56,7 +85,7 @@ def water_fill(sizes, weights):
     return target
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_mix(make_docs, seed):
     r = np.random.default_rng(seed)
     sources = ["b", "a", "é", "Z", None, "tiny"]
@@ -76,7 +105,65 @@ def test_mix(make_docs, seed):
     want = water_fill(sizes, (5, 2, 1))
     for s in sizes:
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 0.005 * target[s] + 4, s
-    assert sorted(map(repr, mixing.digest(mixing.mix(df.repartition(7))).collect())) == sorted(map(repr, mixing.digest(mixing.mix(df)).collect()))
+    if seed == 0:  # reruns agree, however rows are spread
+        assert sorted(map(repr, mixing.digest(mixing.mix(df.repartition(7))).collect())) == sorted(map(repr, mixing.digest(mixing.mix(df)).collect()))
+
+
+def plain_balance(groups, target, most=3.0, ridge=mixing.RIDGE):
+    """The same dual by coordinate descent: each multiplier in turn by bisection. groups: source, size, n."""
+    w = np.array([n * size for _, size, n in groups], dtype=float)
+    x = np.log([size for _, size, _ in groups])
+    mean = (w * x).sum() / w.sum()
+    c = np.clip((x - mean) / np.sqrt((w * (x - mean) ** 2).sum() / w.sum()), -mixing.REACH, mixing.REACH)
+    z = np.stack([c - (w * c).sum() / w.sum(), c**2 - (w * c**2).sum() / w.sum()])
+    of = np.array([g[0] for g in groups])
+    total = {s: w[of == s].sum() for s in target}
+    fixed = {s: target[s] >= most * total[s] * (1 - 1e-9) for s in target}
+    lam, mu = {s: 0.0 for s in target}, np.zeros(2)
+
+    def rate():
+        return np.array([most if fixed[s] else 1.0 for s in of]) * np.where([fixed[s] for s in of], 1, np.minimum(most, np.exp([lam[s] for s in of] + mu @ z)))
+
+    def solve(put, gradient):
+        low, high = -30.0, 30.0
+        for _ in range(100):
+            put((low + high) / 2)
+            low, high = (low, (low + high) / 2) if gradient() > 0 else ((low + high) / 2, high)
+
+    for _ in range(150):
+        for s in target:
+            if not fixed[s]:
+                solve(lambda v: lam.__setitem__(s, v), lambda: (w * rate())[of == s].sum() - target[s])
+        for j in range(2):
+            solve(lambda v: mu.__setitem__(j, v), lambda: (w * rate() * z[j]).sum() + ridge * sum(target.values()) * mu[j])
+    return rate(), mu
+
+
+def test_rates_by_plain_balancing(spark):
+    r = np.random.default_rng(5)
+    groups = [(s, size, int(r.integers(1, 9))) for s, low, high in (("a", 1, 900), ("b", 30, 400), ("c", 100, 2000), ("d", 5, 50)) for size in sorted({int(v) for v in r.integers(low, high, 25)})]
+    total = {s: float(sum(n * size for k, size, n in groups if k == s)) for s in "abcd"}
+    target = {"a": 2.6 * total["a"], "b": 1.4 * total["b"], "d": 3 * total["d"]}
+    target["c"] = sum(total.values()) - sum(target.values())
+    df = mixing.with_moments(spark.createDataFrame(groups, "source string, size long, n long")).cache()
+    targets = spark.createDataFrame([(s, int(total[s]), target[s]) for s in "abcd"], "source string, source_size long, target double")
+    got = {(x["source"], x["size"]): x["rate"] for x in mixing.tilted_rates(df, targets).collect()}
+    want, mu = plain_balance(groups, target)
+    assert max(abs(mu)) > 0.05  # rates depend on documents
+    assert [got[s, size] for s, size, _ in groups] == pytest.approx(list(want), rel=1e-3)
+    for s in "abcd":
+        assert sum(n * size * got[s, size] for k, size, n in groups if k == s) == pytest.approx(target[s], rel=1e-6)
+        assert len({round(got[k, size], 6) for k, size, _ in groups if k == s}) > 1 or s == "d"
+
+
+def test_targets_by_sql(spark, make_docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(3)
+    rows = [(int(i), " \t".join(["w\u00e9"] * int(r.integers(0, 90))), "en", f"s{int(r.integers(0, 9)) ** 2}") for i in range(900)] + [(1000, None, None, None), (1001, "x y", "en", None)]
+    make_docs(rows).write.parquet(str(tmp_path / "d"))
+    want = duckdb.sql(mixing.TARGETS_SQL.replace("FROM documents", f"FROM '{tmp_path}/d/*.parquet'")).fetchall()
+    got = [(x["doc_id"], x["size"], x["source_size"], x["target"]) for x in mixing.mix(make_docs(rows)).collect()]
+    assert [(g[:3], pytest.approx(g[3])) for g in sorted(got)] == [(w[:3], w[3]) for w in sorted(want)]
 
 
 def test_expand(make_docs):
