@@ -65,6 +65,13 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             fs.delete(folder, True)
 
 
+def task_count(df: DataFrame, each: int = 1 << 26) -> int:
+    """Tasks for a shuffle of df: as many as are set, or more if the optimizer's estimate of its bytes asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    set_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(set_, -(-size // each)) if size < 1 << 60 else set_  # that large: unknown
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     if files := df.inputFiles():

@@ -9,10 +9,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, text_or_empty
+from .common import materialize, scratch_path, task_count, text_or_empty
 from .tokens import TokenizerSpec, default_tokenizer, encoder
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+#: Missing digests, 32 bytes each, that are broadcast to find their texts; more are joined by a shuffle.
+FEW = 200_000
 
 
 class TokenCountCache:
@@ -72,24 +74,32 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, cache_path:
     """Count the tokens of every row of docs (doc_id, text), encoding each distinct content once.
 
     The content is the UTF-8 text itself, null taken as empty: any stronger
-    normalisation would change counts. Digests that the cache holds for this
-    tokenizer file are joined; the others are shuffled once, compressed, sorted
-    by digest so that a repeated content is met in one place, encoded, and
-    appended. Equal rows each get their result, a null doc_id stays null, and
-    no rows give no rows. Without ``cache_path`` a new cache in the shared
-    folder is filled and used.
+    normalisation would change counts. Digests are joined with the cache first,
+    and only texts of digests that it lacks for this tokenizer file are touched
+    again: they are compressed, shuffled once, sorted by digest so that a
+    repeated content is met in one place, encoded, and appended. A very long
+    text is encoded by one task. Equal rows each get their result, a null doc_id
+    stays null, and no rows give no rows. Without ``cache_path`` a new cache in
+    the shared folder is filled and used.
     """
     spark = docs.sparkSession
     spec = TokenizerSpec.from_file(tokenizer_path or default_tokenizer())
     cache = TokenCountCache(spark, cache_path or scratch_path(spark, "token-cache"))
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("text")).withColumn("digest", _digest())
-    contents = rows.select("digest", "text").mapInArrow(_local_distinct, "digest binary, packed binary")
+    contents, missing, few = rows.select("digest", "text"), None, False
     known = cache.read(spec.digest)
     if known is not None:
-        contents = contents.join(known, "digest", "left_anti")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = contents.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(_encode_distinct(spec), "digest binary, n_tokens long")
-    cache.append(counts, spec.digest)
+        missing = materialize(rows.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+        n = missing.count()
+        few = n <= FEW
+        if few:
+            contents = contents.join(F.broadcast(missing), "digest", "left_semi")
+    if missing is None or n:
+        packed = contents.mapInArrow(_local_distinct, "digest binary, packed binary")
+        if missing is not None and not few:
+            packed = packed.join(missing, "digest", "left_semi")
+        counts = packed.repartition(task_count(rows), "digest").sortWithinPartitions("digest").mapInArrow(_encode_distinct(spec), "digest binary, n_tokens long")
+        cache.append(counts, spec.digest)
     # read back from a table: a join with an aggregate could not split a digest that many rows share
     known = materialize(cache.read(spec.digest), "known-counts")
     keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")

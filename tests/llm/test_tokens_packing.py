@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from graphloom.llm import packing
+from graphloom.llm import token_counts as counting
 from graphloom.llm.packing import SumOfSquares, pack_documents
 from graphloom.llm.token_counts import TokenCountCache, token_counts
 from graphloom.llm.tokens import Encoder, TokenizerSpec, default_tokenizer
@@ -50,7 +52,7 @@ def test_level_is_the_one_of_least_squares():
     for i in range(3000):
         n = int(r.integers(1, 32))
         before = p.levels.copy()
-        p.add(i, np.arange(n, dtype=np.uint32))
+        p.add(i, 0, np.arange(n, dtype=np.uint32), n)
         after = p.levels[1:32]
         best = min(
             sum(x * x for x in trial[1:32])
@@ -68,7 +70,7 @@ def test_packing_is_whole(seed):
     p = SumOfSquares(64, most_open=8 if seed % 2 else 4096)
     docs = {i: r.integers(0, 1000, int(r.choice([1, 3, 20, 63, 64, 65, 500]))).astype(np.uint32) for i in range(int(r.integers(0, 200)))}
     for k, v in docs.items():
-        p.add(k, v)
+        p.add(k, 0, v, len(v))
     p.finish()
     windows = p.take()
     sizes = [sum(len(x[2]) for x in w) for w in windows]
@@ -115,6 +117,43 @@ def test_packed_rows(odd, library):
     assert again == []
 
 
+@pytest.mark.parametrize("fan_in", [64, 2])
+def test_windows_are_cut_at_the_end_only(make_docs, monkeypatch, fan_in):
+    """However many partitions there are, no more documents are cut than one packer has windows open."""
+    monkeypatch.setattr(packing, "FAN_IN", fan_in)
+    r = random.Random(1)
+    rows = [(i, " ".join(["word"] * r.randrange(5, 1500))) for i in range(1200)]
+    cut = []
+    for parts in (1, 9):
+        out = pack_documents(make_docs(rows).repartition(parts), default_tokenizer()).collect()
+        assert sum(x["length"] for x in out) == sum(x["doc_tokens"] for x in out if x["start"] == 0)
+        assert len({x["sequence_id"] for x in out}) <= sum(x["length"] for x in out) // 2048 + 12
+        cut.append(sum(x["start"] > 0 for x in out))
+    assert cut[1] <= cut[0] + 60
+
+
+def test_second_run_is_served_by_the_cache(make_docs, spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    rows = [(i, f"text {i % 40}") for i in range(100)]
+    path = str(tmp_path / "cache")
+    for few in (200_000, 0):  # missing texts found by a broadcast, and by a shuffle
+        monkeypatch.setattr(counting, "FEW", few)
+        where = f"{path}-{few}"
+        token_counts(make_docs(rows), cache_path=where).collect()
+        assert spark.read.parquet(where).count() == 40
+        # a count that encoding would not give shows where results come from
+        digest = spark.sql("SELECT unhex(sha2(CAST('text 7' AS BINARY), 256)) AS digest").first()["digest"]
+        spec = TokenizerSpec.from_file(default_tokenizer())
+        spark.createDataFrame([(spec.digest, digest, 77)], "tokenizer string, digest binary, n_tokens long").write.mode("append").parquet(where)
+        got = {x["doc_id"]: x["n_tokens"] for x in token_counts(make_docs([*rows, (500, "a new text"), (501, "a new text")]), cache_path=where).collect()}
+        assert got[7] == got[47] == 77 and got[500] == got[501] == 3 and got[8] == 2
+        assert spark.read.parquet(where).count() == 42  # the forged row and one content that was missed
+        other = public_tokenizers.path("word_bpe_49k.json")
+        again = {x["doc_id"]: x["n_tokens"] for x in token_counts(make_docs(rows), other, cache_path=where).collect()}
+        assert spark.read.parquet(where).count() == 82 and again[7] == again[47] != 77  # another tokenizer misses
+
+
 def test_counts(odd, library, spark, tmp_path, monkeypatch):
     df, rows = odd
     path = str(tmp_path / "cache")
