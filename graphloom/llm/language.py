@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from .crf import ChainCrf, Features, forward_backward, train
 
-#: The classifier is fitted on about this many documents of each language at most, and on the most frequent languages.
+#: The classifier is fitted on stretches of about this many documents of each language at most,
 SAMPLE_PER_LANGUAGE = 300
-MOST_LANGUAGES = 200
+#: of this many characters at most, from a place that a hash tells,
+STRETCH = 8000
+#: and on this many runs of their words for each language.
+RUNS_PER_LANGUAGE = 1500
 DIM = 1 << 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
@@ -59,6 +62,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class LanguageModel:
     languages: list[str]
     crf: ChainCrf
+    holdout: tuple[int, int] | None = None
 
     def tagger(self) -> "Tagger":
         return Tagger(self)
@@ -122,25 +126,30 @@ def _remainder(of: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, holdout: tuple[int, int] | None = (4, 2), seed: int = 7) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, holdout: tuple[int, int] | None = (4, 2), seed: int = 7) -> LanguageModel:
     """Learn from text and lang of a bounded sample; with ``holdout`` (m, r) never from rows whose crc32(doc_id) mod m is r.
 
+    Every lang value with a text that has a letter is learned. Documents are
+    drawn by a hash of doc_id and text, for each language apart, and of a drawn
+    one a stretch of STRETCH characters comes to the driver; so what it gathers
+    is bounded in bytes too, by the number of languages. Rows that are equal in
+    both are drawn together; beyond the bound they are left out by their order.
     Training sequences are runs of words from several documents one after
     another, so that transitions between languages are learned too.
     """
-    rows = docs.where(F.col("lang").isNotNull())
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if holdout:
         rows = rows.where(_remainder(holdout[0]) != holdout[1])
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     span = 1 << 40
-    keep = F.lit(False)
-    for c in counts:
-        keep = keep | ((F.col("lang") == c["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span)) < int(span * min(1.0, per_language / c["count"]))))
-    sample = rows.where(keep).where(F.col("text").isNotNull()).select("doc_id", "lang", "text").limit(2 * per_language * max(1, len(counts))).collect() if counts else []
-    sample.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(span)).alias("draw"))
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(span)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))).alias("most"))
+    start = F.col("draw") % F.greatest(F.lit(1), F.length("text") - STRETCH + 1) + 1
+    drawn = rows.join(share, "lang").where("draw < most").select("lang", "draw", F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("text"))
+    bound = 2 * per_language * max(1, share.count())
+    sample = drawn.orderBy("draw", "lang", "text").limit(bound).collect()
     names = sorted({r["lang"] for r in sample if words_of(r["text"])})
     if not names:
-        return LanguageModel([], ChainCrf(np.zeros((DIM, 0)), np.zeros((0, 0)), np.zeros(0)))
+        return LanguageModel([], ChainCrf(np.zeros((DIM, 0)), np.zeros((0, 0)), np.zeros(0)), holdout)
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     texts = []
@@ -149,7 +158,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages
         if len(ids):
             texts.append((ids, names.index(r["lang"])))
     sequences = []
-    for _ in range(min(6000, 8 * len(texts))):
+    for _ in range(min(RUNS_PER_LANGUAGE * len(names), 8 * len(texts))):
         items, truth = [], []
         for k in rng.integers(0, len(texts), rng.integers(1, 4)):
             ids, label = texts[k]
@@ -158,7 +167,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages
             items.append(ids[at : at + n])
             truth.append(np.full(len(items[-1]), label))
         sequences.append((np.concatenate(items), np.concatenate(truth)))
-    return LanguageModel(names, train(word_features(list(index)), sequences, len(names), DIM, epochs=3, seed=seed))
+    return LanguageModel(names, train(word_features(list(index)), sequences, len(names), DIM, epochs=3, seed=seed), holdout)
 
 
 def _predictor(model: LanguageModel, batch: int = 1000):
@@ -181,10 +190,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     score is the mean posterior of the predicted language over the words. A
     null or empty text, or one without a letter, is ``und`` with score 0, and
     so is any text if nothing could be learned. lang, source and doc_id are no
-    inputs of a prediction; equal rows get equal results; a null doc_id is not
-    held out; no rows give no rows.
+    inputs of a prediction; equal rows get equal results; a null doc_id counts
+    as an empty one; held_out follows the remainder that the model was fitted
+    without; all words of a very long text are labelled, in one task; no rows
+    give no rows.
     """
-    rows = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), (_remainder(4) == 2).alias("held_out"))
+    held = _remainder(model.holdout[0]) == model.holdout[1] if model.holdout else F.lit(False)
+    rows = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -203,5 +215,8 @@ def _accepting(model: LanguageModel, least: float, batch: int = 1000):
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with a score of ``least`` or more; their columns are unchanged."""
+    """The rows whose language is known with a score of ``least`` or more; their columns, whatever their names, are unchanged.
+
+    Null texts and those without a letter go; equal rows share their fate.
+    """
     return docs.mapInArrow(_accepting(model, least), docs.schema)
