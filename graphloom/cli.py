@@ -83,6 +83,8 @@ def main(argv: list[str] | None = None, out: Callable[[str], None] = print, sess
         out("For agents configured in TOML:\n" + install.toml_snippet())
         return 0
     spark = session or _session()
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        spark.conf.set("graphloom.scratch.dir", str(root / ".graphloom" / "scratch"))  # beside the tree, which executors read
     store = GraphStore(spark, None if a.memory else a.db or root / ".graphloom" / "graph")
     indexer = Indexer(store, root)
     try:
@@ -110,7 +112,9 @@ def _follow(a: argparse.Namespace, indexer: Indexer, store: GraphStore, say: Cal
     handle = watch(indexer, scratch_path(indexer.spark, "watch"), lambda p, what: say(f"{what} {p}"), lambda e: say(f"error: {e}"))
     try:
         if a.command == "mcp":
-            Server(store.graph).serve(sys.stdin, sys.stdout)
+            server = Server(store.graph, store.state)
+            server.serve(sys.stdin, sys.stdout)
+            server.close()
         else:
             handle.query.awaitTermination()
     except KeyboardInterrupt:

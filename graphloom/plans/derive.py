@@ -1,6 +1,6 @@
 """A code graph derived from the TPC-H-like driver tables, in SQL that Spark and DuckDB both run.
 
-Suppliers are files, parts are symbols and first lines of orders are calls.
+Suppliers are files, parts are symbols and lines of orders are calls.
 Placeholders in braces stand for the raw tables.
 """
 
@@ -39,7 +39,6 @@ _VIEWS = {
   FROM {lineitem} l
   JOIN cg_symbols s ON s.symbol_id = l.l_partkey
   JOIN cg_symbols t ON t.symbol_id = (l.l_partkey * 31 + l.l_suppkey * 7) % (SELECT count(*) FROM {part})
-  WHERE l.l_linenumber = 1 AND l.l_returnflag <> 'N'
   GROUP BY 1, 2, 3, 4""",
     "made_imports": """
   SELECT a.file_id AS file_id, CAST(NULL AS VARCHAR(20)) AS from_symbol, '../src/m' || CAST(b.file_id AS VARCHAR(20)) AS name, 'import' AS kind,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .derive import derived
-from .scratch import cut
+from .scratch import cut, delete
 
 
 @dataclass(frozen=True)
@@ -72,9 +72,20 @@ class CodeGraph:
     @cached_property
     def edges(self) -> DataFrame:
         """(src, dst) distinct, cut from its lineage: traversals read it at every level."""
-        return cut(self.edge_files.select("src", "dst").distinct(), "edges")
+        return cut(self.edge_files.select("src", "dst").distinct(), "edges", self._own)
 
     @cached_property
     def edge_files(self) -> DataFrame:
         """(src, dst, file_id): an edge in the files it is called from."""
-        return cut(self.resolved_calls.select("src", "dst", "file_id").distinct(), "edge-files")
+        return cut(self.resolved_calls.select("src", "dst", "file_id").distinct(), "edge-files", self._own)
+
+    @cached_property
+    def _own(self) -> list[str]:
+        """Folders of the tables that this graph has cut; they last as long as it is asked."""
+        return []
+
+    def close(self) -> None:
+        """Delete them; the graph and what was derived from it are not to be used afterwards."""
+        for path in self._own:
+            delete(self.files.sparkSession, path)
+        self._own.clear()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Kinds and columns of the data model.
 SYMBOL_KINDS = ("function", "method", "class", "interface", "type", "enum", "variable")
 REF_KINDS = ("call", "method", "import")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import clipped, is_test_file, module_basename, symbol_line, token_estimate
+from .functions.text import TEST_PATTERNS, clipped, is_test_file, module_basename, symbol_line, token_estimate
 from .operators import context as ctx
 from .operators import evaluate, lookup, render, traverse, trigram
 from .plans.derive import oracle
@@ -47,9 +47,15 @@ def root(g: CodeGraph) -> str:
     return top["dst"] if top else ""
 
 
+def top_name(g: CodeGraph) -> str:
+    """The same without writing the edges, for questions that do not walk."""
+    top = g.resolved_calls.select("src", "dst").distinct().groupBy("dst").count().orderBy(F.desc("count"), "dst").first()
+    return top["dst"] if top else ""
+
+
 def caller_root(g: CodeGraph) -> str:
     """The name that calls the most names."""
-    top = g.edges.groupBy("src").count().orderBy(F.desc("count"), "src").first()
+    top = g.resolved_calls.select("src", "dst").distinct().groupBy("src").count().orderBy(F.desc("count"), "src").first()
     return top["src"] if top else ""
 
 
@@ -94,12 +100,12 @@ def trigram_frequencies(g):
 
 @_query(oracle(["defs", "root"], f"SELECT {SYM} FROM defs WHERE name = (SELECT name FROM root) ORDER BY path, start_row, symbol_id LIMIT 50"))
 def get_symbol(g):
-    return lookup.get_symbol(g, root(g))
+    return lookup.get_symbol(g, top_name(g))
 
 
 @_query(oracle(["located", "root"], f"SELECT {REF} FROM located WHERE name = (SELECT name FROM root)"))
 def find_references(g):
-    return lookup.find_references(g, root(g), limit=None)
+    return lookup.find_references(g, top_name(g), limit=None)
 
 
 @_query(oracle(["located"], f"SELECT {REF} FROM located WHERE name = '../src/m1' AND kind = 'import'"))
@@ -119,7 +125,7 @@ _CALLERS = """callers AS (
 
 @_query(oracle(["located", "root"], f"SELECT {REF} FROM callers", _CALLERS))
 def find_callers(g):
-    return lookup.find_callers(g, root(g), limit=None)
+    return lookup.find_callers(g, top_name(g), limit=None)
 
 
 @_query(
@@ -130,7 +136,7 @@ def find_callers(g):
     )
 )
 def callers_by_file(g):
-    rows = lookup.find_callers(g, root(g), limit=None)
+    rows = lookup.find_callers(g, top_name(g), limit=None)
     who = F.countDistinct(F.coalesce("from_symbol", F.lit("(top level)")))
     return rows.groupBy("path").agg((F.min("start_row") + 1).alias("line"), who.alias("callers"))
 
@@ -275,11 +281,7 @@ def neighborhood_unresolved(g):
     return traverse.unresolved_names(g, cut(traverse.neighborhood_nodes(g, root(g)), "nodes"))
 
 
-_IS_TEST = (
-    r"regexp_matches(path, '(^|/)(tests?|spec|specs|__tests__|e2e|integration)/', 'i') OR regexp_matches(path, '\.(test|spec)\.[a-z]+$', 'i') OR "
-    r"regexp_matches(path, '_test\.[a-z]+$', 'i') OR regexp_matches(path, '(^|/)test_[^/]+\.(py|rb)$', 'i') OR "
-    r"regexp_matches(path, '(Test|Tests|Spec)\.[a-z]+$', 'i') OR regexp_matches(path, '_spec\.rb$', 'i')"
-)
+_IS_TEST = " OR ".join(f"regexp_matches(path, '{p.removeprefix('(?i)')}', 'i')" for p in TEST_PATTERNS)
 _BASENAME = "split_part(regexp_extract(path, '[^/]*$'), '.', 1)"
 
 
@@ -384,6 +386,20 @@ def context_related(g):
     return ctx.related(g, cut(ctx.seeds(g, "red late"), "seeds"))
 
 
+_RELATED = _SEEDS + """,
+related AS (SELECT * FROM scored WHERE name IN (SELECT dst FROM edges WHERE src IN (SELECT name FROM seeds) UNION
+              SELECT src FROM edges WHERE dst IN (SELECT name FROM seeds)) AND name NOT IN (SELECT name FROM seeds)
+            ORDER BY sites DESC, name, path, start_row, symbol_id LIMIT (SELECT 30 - count(*) FROM seeds)),
+chosen AS (SELECT name FROM seeds UNION SELECT name FROM related),
+among AS (SELECT src, dst FROM edges WHERE src IN (SELECT name FROM chosen) AND dst IN (SELECT name FROM chosen))"""
+
+
+@_query(oracle(["defs", "cg_refs", "edges"], "SELECT src, dst FROM among", _RELATED))
+def context_edges(g):
+    seeds = cut(ctx.seeds(g, "red late"), "seeds")
+    return traverse.induced_edges(g, seeds.select("name").union(cut(ctx.related(g, seeds), "related").select("name")))
+
+
 @_query(oracle(["cg_files", "cg_symbols", "cg_refs"], "SELECT (SELECT count(*) FROM cg_files) AS files, (SELECT count(*) FROM cg_symbols) AS symbols, (SELECT count(*) FROM cg_refs) AS refs"))
 def stats_totals(g):
     return lookup.stats(g).select("files", "symbols", "refs")
@@ -430,7 +446,7 @@ def render_symbols(g):
     )
 )
 def render_callers(g):
-    return render.render_callers(lookup.find_callers(g, root(g), limit=None))
+    return render.render_callers(lookup.find_callers(g, top_name(g), limit=None))
 
 
 @_query(
@@ -441,7 +457,7 @@ def render_callers(g):
     )
 )
 def render_refs(g):
-    return render.render_refs(lookup.find_references(g, root(g), limit=None))
+    return render.render_refs(lookup.find_references(g, top_name(g), limit=None))
 
 
 @_query(
@@ -457,6 +473,87 @@ def render_impact(g):
     return render.render_impact(traverse.impact(g, root(g), 2))
 
 
+def _section(title: str, lines: str, order: str, source: str) -> str:
+    return f"coalesce((SELECT chr(10) || chr(10) || '{title}' || string_agg({lines}, chr(10) ORDER BY {order}) FROM {source}), '')"
+
+
+_CALL_EDGES = lambda source: _section("call edges:' || chr(10) || '", "'  ' || src || ' → ' || dst", "src, dst", source)
+
+
+@_query(
+    oracle(
+        ["edges", "root", "defs", "cg_refs"],
+        "SELECT 'neighbourhood of ' || (SELECT name FROM root) || ':' || "
+        + _section("definitions:' || chr(10) || '", "'  ' || line", "distance, path, start_row, symbol_id", f"(SELECT {_LINE} AS line, * FROM nodes)")
+        + " || " + _CALL_EDGES("(SELECT * FROM edges WHERE src IN (SELECT name FROM nodes) AND dst IN (SELECT name FROM nodes))")
+        + " || coalesce((SELECT chr(10) || chr(10) || 'unresolved (referenced, not defined in index): ' || string_agg(name, ', ' ORDER BY name) FROM "
+        "(SELECT DISTINCT name FROM cg_refs WHERE kind IN ('call', 'method') AND from_symbol IN (SELECT name FROM nodes) AND name NOT IN (SELECT name FROM cg_symbols))), '') AS text",
+        _NEAR,
+        recursive=True,
+    )
+)
+def render_neighborhood(g):
+    name = root(g)
+    nodes = cut(traverse.neighborhood_nodes(g, name).coalesce(1), "nodes")
+    return render.render_neighborhood(name, nodes, traverse.induced_edges(g, nodes), traverse.unresolved_names(g, nodes))
+
+
+@_query(
+    oracle(
+        ["defs", "cg_refs", "edges"],
+        "SELECT 'context for \"red late\":' || "
+        + _section("matches:' || chr(10) || '", "'  ' || line", "held DESC, exact DESC, sites DESC, name, path, start_row, symbol_id", f"(SELECT {_LINE} AS line, * FROM seeds)")
+        + " || " + _section("related (ranked by call-site centrality):' || chr(10) || '", "'  ' || line", "sites DESC, name, path, start_row, symbol_id", f"(SELECT {_LINE} AS line, * FROM related)")
+        + " || " + _CALL_EDGES("among") + " AS text",
+        _RELATED,
+    )
+)
+def render_context(g):
+    seeds = cut(ctx.seeds(g, "red late").coalesce(1), "seeds")
+    more = cut(ctx.related(g, seeds).coalesce(1), "related")
+    return render.render_context("red late", seeds, more, traverse.induced_edges(g, seeds.select("name").union(more.select("name"))))
+
+
+@_query(
+    oracle(
+        ["defs", "cg_refs", "edges"],
+        f"SELECT {SYM}, CAST(sites AS BIGINT) AS sites, TRUE AS is_seed FROM seeds UNION ALL SELECT {SYM}, CAST(sites AS BIGINT), FALSE FROM related",
+        _RELATED,
+    )
+)
+def context_sql_function(g):
+    from .tools import register_sql
+
+    register_sql(g)
+    return g.files.sparkSession.sql("SELECT * FROM context('the red, late!')")
+
+
+@_query(oracle(_AFFECTED_NEEDS, f"SELECT path, path IN (SELECT path FROM changed) AS is_changed, {_IS_TEST} AS is_test FROM affected", _AFFECTED.replace("w.d < 4", "w.d < 2").replace("s.d < 4", "s.d < 2"), recursive=True))
+def affected_sql_function(g):
+    """Two hops, as the function can be asked for fewer than it is written out for."""
+    from .tools import register_sql
+
+    register_sql(g)
+    _changed(g).createOrReplaceTempView("graphloom_changed")
+    return g.files.sparkSession.sql("SELECT * FROM affected((SELECT collect_list(path) FROM graphloom_changed), 2)")
+
+
+@_query(oracle(["defs", "resolved", "edges", "root"], f"SELECT {SYM}, distance FROM impacted", _bfs(2), recursive=True))
+def impact_sql_function_d2(g):
+    from .tools import register_sql
+
+    register_sql(g)
+    return g.files.sparkSession.sql("SELECT * FROM impact(:root, 2)", {"root": root(g)})
+
+
+@_query(_search("re", "method", 500))
+def search_sql_function(g):
+    from .tools import register_sql
+
+    register_sql(g)
+    return g.files.sparkSession.sql("SELECT * FROM search_symbols('re', 'method', 500)")
+
+
 @_query(
     oracle(
         _AFFECTED_NEEDS,
@@ -491,20 +588,6 @@ def language_of_path(g):
     return g.files.select("path", language_of("path").alias("lang"))
 
 
-@_query(oracle(["cg_files"], "SELECT path FROM cg_files WHERE file_id % 3 <> 0"))
-def prune_deleted(g):
-    """Stored paths that a walk did not see: here it saw every third file."""
-    seen = g.files.where("file_id % 3 = 0").select("path")
-    return g.files.select("path").join(seen, "path", "left_anti")
-
-
-@_query(oracle(["cg_files"], "SELECT path FROM cg_files WHERE file_id % 4 = 0"))
-def hash_gate(g):
-    """Files whose content hash differs from the stored one: here every fourth was changed."""
-    now = g.files.select("path", F.md5(F.concat("path", F.lit(":"), F.when(F.col("file_id") % 4 == 0, "2").otherwise("1"))).alias("now"))
-    return now.join(g.files.select("path", "hash"), "path", "left").where(~F.col("now").eqNullSafe(F.col("hash"))).select("path")
-
-
 @_query(
     oracle(
         ["cg_files"],

@@ -8,16 +8,35 @@ from typing import IO
 
 from . import __version__
 from .plans.graph import CodeGraph
+from .plans.scratch import temporary_tables
 from .tools import TOOLS, call_tool
 
 PROTOCOL = "2024-11-05"
 
 
 class Server:
-    """``graph`` is asked for the current graph at every call."""
+    """``graph`` is asked for a new graph when ``state`` has changed; until then edges are resolved once. What a call writes goes with it."""
 
-    def __init__(self, graph: Callable[[], CodeGraph]):
-        self.graph = graph
+    def __init__(self, graph: Callable[[], CodeGraph], state: Callable[[], object] = lambda: None):
+        self.graph, self.state = graph, state
+        self._current: tuple[object, CodeGraph] | None = None
+
+    def current(self) -> CodeGraph:
+        state = self.state()
+        if self._current is None or self._current[0] != state:
+            self.close()
+            self._current = state, self.graph()
+        return self._current[1]
+
+    def close(self) -> None:
+        if self._current:
+            self._current[1].close()
+        self._current = None
+
+    def _call(self, name: str, arguments: dict | None) -> str:
+        g = self.current()
+        with temporary_tables(g.files.sparkSession):
+            return call_tool(g, name, arguments)
 
     def handle(self, message: dict) -> dict | None:
         """The response to a request; None for a notification."""
@@ -32,7 +51,7 @@ class Server:
             return self._ok(id_, {"tools": [{"name": t.name, "description": t.about, "inputSchema": t.json_schema()} for t in TOOLS.values()]})
         if method == "tools/call":
             try:
-                return self._ok(id_, {"content": [{"type": "text", "text": call_tool(self.graph(), params.get("name", ""), params.get("arguments"))}]})
+                return self._ok(id_, {"content": [{"type": "text", "text": self._call(params.get("name", ""), params.get("arguments"))}]})
             except ValueError as e:
                 return self._ok(id_, {"content": [{"type": "text", "text": str(e)}], "isError": True})
         return {"jsonrpc": "2.0", "id": id_, "error": {"code": -32601, "message": f"unknown method: {method}"}}

@@ -1,17 +1,20 @@
-"""Registered queries over text: parsing round trips, links of pages, streams."""
+"""Registered queries over text: parsing round trips, runs of the indexer, streams."""
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.derive import oracle
 from .plans.graph import CodeGraph
-from .plans.scratch import scratch_path
-from .sources.indexer import parse_files, parse_source_udtf
-from .streaming.changes import last_events
+from .plans.scratch import cut, scratch_path
+from .sources.indexer import Indexer, parse_files, parse_source_udtf
+from .sources.store import GraphStore
+from .streaming.changes import last_events, watch
 
 
 #: How a function and its end are written in the languages of the derived graph.
@@ -27,12 +30,15 @@ def texts(g: CodeGraph, *langs: str) -> DataFrame:
     made = g.symbols.select("file_id", "name").distinct().join(files, "file_id")
     made = made.join(calls.withColumnRenamed("from_symbol", "name"), ["file_id", "name"], "left")
     text = F.concat(pick(0), "name", pick(1), F.coalesce(F.array_join("body", "\n"), pick(2)), pick(3))
-    return made.groupBy("path", "lang").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
+    return made.groupBy("file_id", "path", "lang").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
+
+
+def _facts(texts: DataFrame) -> DataFrame:
+    return texts.withColumns({"hash": F.sha1("text"), "size": F.length("text").cast("bigint"), "mtime": F.lit(0).cast("bigint")})
 
 
 def _parsed(spark: SparkSession, sf_dir: str, *langs: str) -> DataFrame:
-    made = texts(CodeGraph.from_testdata(spark, sf_dir), *langs)
-    return parse_files(made.withColumns({"hash": F.sha1("text"), "size": F.length("text").cast("bigint"), "mtime": F.lit(0).cast("bigint")}))
+    return parse_files(_facts(texts(CodeGraph.from_testdata(spark, sf_dir), *langs)))
 
 
 def parse_roundtrip_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,18 +68,6 @@ _PY = """py AS (SELECT DISTINCT f.file_id, f.path, s.name FROM cg_symbols s JOIN
 py_refs AS (SELECT DISTINCT p.path, r.from_symbol, r.name, r.kind FROM cg_refs r JOIN py p ON p.file_id = r.file_id AND p.name = r.from_symbol WHERE r.kind IN ('call', 'method'))"""
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's links as import references."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("name"))
-
-
-def page_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's first heading as its definition."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", "url", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("name")).where("name <> ''")
-
-
 def _change_log(g: CodeGraph) -> DataFrame:
     """Each file saved up to three times and some deleted, as one log."""
     saved = g.files.select("path", F.lit("upsert").alias("op"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("file_id") % 3 + 1)).alias("mtime"))
@@ -103,8 +97,87 @@ def stream_upsert_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{state}-{n}")
 
 
+def _saved_again(made: DataFrame) -> DataFrame:
+    """The tree a while later: every third file is gone, and of the others every fourth file has one more function."""
+    heads = F.create_map(*[F.lit(x) for k, h in _HEADS.items() for x in (k, h[0])])[F.col("lang")]
+    tails = F.create_map(*[F.lit(x) for k, h in _HEADS.items() for x in (k, h[1] + h[2] + h[3])])[F.col("lang")]
+    more = F.concat("text", F.lit("\n"), heads, F.lit("added_"), F.col("file_id").cast("string"), tails, F.lit("\n"))
+    return made.where("file_id % 3 <> 1").withColumn("text", F.when(F.col("file_id") % 4 == 0, more).otherwise(F.col("text")))
+
+
+def _indexed_twice(spark: SparkSession, sf_dir: str) -> tuple[GraphStore, list]:
+    """A store after two runs over the files of the graph; the second meets a file that cannot be parsed besides."""
+    store = GraphStore(spark)
+    indexer = Indexer(store)
+    made = cut(texts(CodeGraph.from_testdata(spark, sf_dir), *_HEADS), "texts")
+    odd = spark.createDataFrame([(-1, "src/odd.cbl", "cobol", "MOVE A TO B")], made.schema)
+    return store, [indexer.index_table(_facts(t)) for t in (made, _saved_again(made).union(odd))]
+
+
+def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs of the indexer report."""
+    _, runs = _indexed_twice(spark, sf_dir)
+    return spark.createDataFrame([(i, r.indexed, r.skipped, r.removed, len(r.errors)) for i, r in enumerate(runs, 1)], "run int, indexed bigint, skipped bigint, removed bigint, errors bigint")
+
+
+def hash_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths whose rows the second run replaced: those whose content hash had changed."""
+    store, _ = _indexed_twice(spark, sf_dir)
+    files = store.files()
+    first = files.agg(F.min("version")).first()[0]
+    return files.where(F.col("version") > first).select("path")
+
+
+def prune_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that are left after the second run did not see every third file."""
+    store, _ = _indexed_twice(spark, sf_dir)
+    return store.files().select("path")
+
+
+def indexed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definitions in the store after both runs."""
+    store, _ = _indexed_twice(spark, sf_dir)
+    return store.graph().definitions.select("path", "name", "kind").distinct()
+
+
+def compacted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the tables were rewritten."""
+    store, _ = _indexed_twice(spark, sf_dir)
+    store.compact()
+    return store.graph().definitions.select("path", "name", "kind").distinct()
+
+
+def stream_follows_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, when files are saved and deleted in a folder that the change stream follows."""
+    made = cut(texts(CodeGraph.from_testdata(spark, sf_dir), *_HEADS), "texts")
+    base = scratch_path(spark, "followed").removeprefix("file:")
+    root = Path(base) / "tree"
+
+    def save(rows: DataFrame) -> None:
+        for r in rows.select("path", "text").toLocalIterator():
+            (root / r["path"]).parent.mkdir(parents=True, exist_ok=True)
+            (root / r["path"]).write_text(r["text"], "utf-8")
+
+    save(made)
+    store = GraphStore(spark)
+    indexer = Indexer(store, root)
+    indexer.index_all()
+    handle = watch(indexer, f"{base}/checkpoint")
+    try:
+        handle.process_all()
+        save(_saved_again(made).where("file_id % 4 = 0"))
+        for r in made.where("file_id % 3 = 1").select("path").toLocalIterator():
+            (root / r["path"]).unlink()
+        handle.process_all()
+    finally:
+        handle.close()
+        shutil.rmtree(root, ignore_errors=True)
+    return store.graph().definitions.select("path", "name", "kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (parse_roundtrip_symbols, parse_roundtrip_refs, parse_braces_symbols, parse_braces_refs, parse_lateral_counts, page_links, page_definitions, last_event_per_file, stream_upsert_equals_batch)
+    fs = (parse_roundtrip_symbols, parse_roundtrip_refs, parse_braces_symbols, parse_braces_refs, parse_lateral_counts, last_event_per_file, stream_upsert_equals_batch,
+          index_runs, hash_gate, prune_deleted, indexed_symbols, compacted_symbols, stream_follows_tree)
     return {f.__name__: f for f in fs}
 
 
@@ -113,8 +186,26 @@ _LAST = """SELECT path, op, mtime FROM (SELECT *, row_number() OVER (PARTITION B
   UNION ALL SELECT path, 'delete', CAST(2 AS BIGINT) FROM cg_files WHERE file_id % 4 = 1)) WHERE nth = 1"""
 
 
+_LATER = """written AS (SELECT DISTINCT f.file_id, f.path, s.name FROM cg_symbols s JOIN cg_files f ON f.file_id = s.file_id),
+sources AS (SELECT DISTINCT file_id, path FROM written)"""
+_STORED = """SELECT path, name, 'function' AS kind FROM written WHERE file_id % 3 <> 1
+UNION ALL SELECT path, 'added_' || CAST(file_id AS VARCHAR), 'function' FROM sources WHERE file_id % 3 <> 1 AND file_id % 4 = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
+    stored = oracle(["cg_symbols", "cg_files"], _STORED, _LATER)
     return {
+        "index_runs": oracle(
+            ["cg_symbols", "cg_files"],
+            "SELECT CAST(1 AS INT) AS run, count(*) AS indexed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS errors FROM sources UNION ALL "
+            "SELECT 2, count(*) FILTER (file_id % 3 <> 1 AND file_id % 4 = 0), count(*) FILTER (file_id % 3 <> 1 AND file_id % 4 <> 0), count(*) FILTER (file_id % 3 = 1), 1 FROM sources",
+            _LATER,
+        ),
+        "hash_gate": oracle(["cg_symbols", "cg_files"], "SELECT path FROM sources WHERE file_id % 3 <> 1 AND file_id % 4 = 0", _LATER),
+        "prune_deleted": oracle(["cg_symbols", "cg_files"], "SELECT path FROM sources WHERE file_id % 3 <> 1", _LATER),
+        "indexed_symbols": stored,
+        "compacted_symbols": stored,
+        "stream_follows_tree": stored,
         "parse_roundtrip_symbols": oracle(["cg_symbols", "cg_files"], "SELECT DISTINCT path, name, 'function' AS kind, 'def ' || name || '():' AS signature FROM py", _PY.split(",\npy_refs")[0]),
         "parse_roundtrip_refs": oracle(["cg_refs", "cg_symbols", "cg_files"], "SELECT path, from_symbol, name, kind FROM py_refs", _PY),
         "parse_braces_symbols": oracle(
@@ -128,8 +219,6 @@ def oracle_sql() -> dict[str, str]:
             "SELECT path, 'symbol' AS what, count(*) AS n FROM py GROUP BY path UNION ALL SELECT path, 'ref', count(*) FROM py_refs GROUP BY path",
             _PY,
         ),
-        "page_links": "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS name FROM pages",
-        "page_definitions": "SELECT page_id, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS name FROM pages WHERE regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> ''",
         "last_event_per_file": oracle(["cg_files"], _LAST),
         "stream_upsert_equals_batch": oracle(["cg_files"], _LAST),
     }

@@ -454,7 +454,7 @@ class Python(Reader):
 
         def dotted(j: int) -> tuple[str, int]:
             out = ""
-            while s.kind(j) == "id" and s.at(j) not in ("import", "as") or s.at(j) in (".", "..."):
+            while j not in self.fresh and (s.kind(j) == "id" and s.at(j) not in ("import", "as") or s.at(j) in (".", "...")):
                 out += s.at(j)
                 j += 1
             return out, j
@@ -505,6 +505,11 @@ class Go(Reader):
             return Def("class", s.at(i), i, s.line_end(i))
         return None
 
+    def call(self, i: int) -> tuple[str, str, int] | None:
+        s = self.s
+        in_interface = s.at(s.parent[i]) == "{" and s.at(s.parent[i] - 1) == "interface"
+        return None if in_interface else super().call(i)
+
     def imports(self, i: int) -> list[str]:
         s = self.s
         if s.kind(i) != "str":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from .functions.text import TEST_PATTERNS
 from .operators import context as ctx
 from .operators import lookup, render, traverse
 from .plans import schema
@@ -120,14 +121,14 @@ def call_tool(g: CodeGraph, name: str, args: dict | None = None) -> str:
 def register_sql(g: CodeGraph) -> None:
     """Views cg_files, cg_symbols, cg_refs, cg_edges and cg_imports, and table functions named after the tools.
 
-    A function cannot cut lineage between levels, so impact and neighborhood
-    are written out for their default depths (3 and 2). context and affected
-    rank and loop, and stay with the tools and the DataFrame operators.
+    Arguments have the tools' defaults. A function cannot cut lineage between
+    levels, so walks are written out: impact and affected for up to 3 hops (by
+    default), neighborhood for up to 2; the tools and DataFrame operators go further.
     """
     spark = g.files.sparkSession
     for name, df in (
         ("cg_files", g.files), ("cg_symbols", g.definitions), ("cg_refs", g.located_refs), ("cg_resolved", g.resolved_calls),
-        ("cg_edges", g.edges), ("cg_edge_files", g.edge_files), ("cg_imports", traverse.import_edges(g)), ("cg_stats", lookup.stats(g)),
+        ("cg_edges", g.edges), ("cg_edge_files", g.edge_files), ("cg_imports", traverse.import_edges(g)), ("cg_stats", lookup.stats(g)), ("cg_sites", lookup.centrality(g)),
     ):
         df.createOrReplaceTempView(name)
     columns = lambda *given: ", ".join(given)
@@ -147,18 +148,58 @@ def register_sql(g: CodeGraph) -> None:
 
     callers = "SELECT e.src AS name FROM {level} p JOIN cg_edges e ON e.dst = p.name"
     near = callers + " UNION ALL SELECT e.dst AS name FROM {level} p JOIN cg_edges e ON e.src = p.name"
+
+    def first(rows: str, order: str, limit: str, columns: str = sym) -> str:
+        return f"SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS nth FROM ({rows})) WHERE nth <= {limit}"
+
+    place = "path, start_row, symbol_id"
+    low, q = "lower(name)", "lower(search_symbols.query)"
+    found = f"SELECT * FROM cg_symbols WHERE contains({low}, {q}) AND (search_symbols.of_kind IS NULL OR kind = search_symbols.of_kind)"
+    match = f"CASE WHEN {low} = {q} THEN 0 WHEN startswith({low}, {q}) THEN 1 ELSE 2 END, length(name), name, {place}"
+    reached = lambda root: (
+        f"{levels(root, 3, callers)}, hit AS (SELECT DISTINCT a.name, a.d, e.file_id FROM reached a JOIN cg_edge_files e ON e.src = a.name JOIN reached b ON b.name = e.dst AND b.d = a.d - 1)"
+    )
+    tokens = "array_distinct(filter(split(lower(context.query), '[^a-z0-9_$]+'), t -> length(t) >= 2))"
+    related = (
+        f"WITH scored AS (SELECT s.*, coalesce(c.sites, 0L) AS sites, size(filter({tokens}, t -> contains(lower(s.name), t))) AS held, array_contains({tokens}, lower(s.name)) AS exact "
+        "FROM cg_symbols s LEFT JOIN cg_sites c ON c.name = s.name), "
+        f"seeds AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY held DESC, exact DESC, sites DESC, name, {place}) AS nth FROM scored WHERE held > 0) WHERE nth <= ceil(context.most / 2)), "
+        "near AS (SELECT e.dst AS name FROM cg_edges e LEFT SEMI JOIN seeds ON seeds.name = e.src UNION SELECT e.src FROM cg_edges e LEFT SEMI JOIN seeds ON seeds.name = e.dst), "
+        "beside AS (SELECT s.* FROM scored s LEFT SEMI JOIN near ON near.name = s.name LEFT ANTI JOIN seeds ON seeds.name = s.name), "
+        f"ranked AS (SELECT *, row_number() OVER (ORDER BY sites DESC, name, {place}) AS at FROM beside) "
+        f"SELECT {sym}, sites, TRUE FROM seeds UNION ALL SELECT {sym}, sites, FALSE FROM ranked WHERE at <= context.most - (SELECT count(*) FROM seeds)"
+    )
+    # roots of all changed files are walked together: (root, name) pairs by levels
+    pairs = ["a0 AS (SELECT DISTINCT name AS root, name, 0 AS d FROM cg_symbols WHERE array_contains(affected.changed, path))"]
+    files = ["i0 AS (SELECT DISTINCT explode(affected.changed) AS path)"]
+    for d in range(1, 4):
+        before = " UNION ALL ".join(f"SELECT root, name FROM a{k}" for k in range(d))
+        pairs.append(f"a{d} AS (SELECT DISTINCT n.root, n.name, {d} AS d FROM (SELECT p.root, e.src AS name FROM a{d - 1} p JOIN cg_edges e ON e.dst = p.name) n LEFT ANTI JOIN ({before}) b ON b.root = n.root AND b.name = n.name)")
+        seen = " UNION ALL ".join(["SELECT path FROM called", *(f"SELECT path FROM i{k}" for k in range(d))])
+        files.append(f"i{d} AS (SELECT DISTINCT n.path FROM (SELECT m.path FROM i{d - 1} p JOIN cg_imports m ON m.basename = split_part(substring_index(p.path, '/', -1), '.', 1) AND m.basename <> '') n LEFT ANTI JOIN ({seen}) b ON b.path = n.path)")
+    every = " UNION ALL ".join(f"SELECT root, name, d FROM a{k}" for k in range(4))
+    called = (
+        "called AS (SELECT DISTINCT s.path FROM walked a JOIN cg_edge_files e ON e.src = a.name JOIN walked b ON b.root = a.root AND b.name = e.dst AND b.d = a.d - 1 "
+        "JOIN cg_symbols s ON s.name = a.name AND s.file_id = e.file_id WHERE a.d BETWEEN 1 AND affected.hops)"
+    )
+    spread = " UNION ".join(["SELECT path FROM called", *(f"SELECT path FROM i{k} WHERE {k} <= affected.hops" for k in range(4))])
+    is_test = " OR ".join(f"path RLIKE r'{p}'" for p in TEST_PATTERNS)
+    affected = f"WITH {', '.join(pairs)}, walked AS ({every}), {called}, {', '.join(files)} SELECT path, array_contains(affected.changed, path), {is_test} FROM ({spread})"
     for signature, types, body in (
-        ("search_symbols(query STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE contains(lower(name), lower(search_symbols.query))"),
-        ("get_symbol(wanted STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE name = get_symbol.wanted"),
+        (f"search_symbols(query STRING, of_kind STRING DEFAULT NULL, most INT DEFAULT {schema.LIMIT})", sym_types, first(found, match, "search_symbols.most")),
+        (f"get_symbol(wanted STRING, most INT DEFAULT {schema.LIMIT})", sym_types, first("SELECT * FROM cg_symbols WHERE name = get_symbol.wanted", place, "get_symbol.most")),
         ("file_outline(file STRING)", sym_types, f"SELECT {sym} FROM cg_symbols WHERE path = file_outline.file"),
-        ("find_references(wanted STRING)", ref_types, f"SELECT {ref} FROM cg_refs WHERE name = find_references.wanted"),
-        ("find_callers(wanted STRING)", ref_types, f"SELECT {ref} FROM (SELECT *, row_number() OVER (PARTITION BY path, from_symbol ORDER BY start_row, start_col) AS nth FROM cg_refs WHERE kind IN ('call', 'method') AND name = find_callers.wanted) WHERE nth = 1"),
-        ("find_callees(caller STRING)", sym_types, f"SELECT DISTINCT {of_s} FROM cg_resolved r JOIN cg_symbols s ON s.name = r.dst AND {fits} WHERE r.src = find_callees.caller"),
+        (f"find_references(wanted STRING, of_kind STRING DEFAULT NULL, most INT DEFAULT {schema.LIMIT})", ref_types,
+         first("SELECT * FROM cg_refs WHERE name = find_references.wanted AND (find_references.of_kind IS NULL OR kind = find_references.of_kind)", "path, start_row, start_col, kind", "find_references.most", ref)),
+        (f"find_callers(wanted STRING, most INT DEFAULT {schema.LIMIT})", ref_types,
+         first("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, from_symbol ORDER BY start_row, start_col) AS of_caller FROM cg_refs WHERE kind IN ('call', 'method') AND name = find_callers.wanted) WHERE of_caller = 1", "path, start_row, start_col", "find_callers.most", ref)),
+        (f"find_callees(caller STRING, most INT DEFAULT {schema.LIMIT})", sym_types, first(f"SELECT DISTINCT {of_s} FROM cg_resolved r JOIN cg_symbols s ON s.name = r.dst AND {fits} WHERE r.src = find_callees.caller", place, "find_callees.most")),
         ("find_importers(module STRING)", "path STRING", "SELECT DISTINCT path FROM cg_imports WHERE basename = find_importers.module AND basename <> ''"),
         ("graph_stats()", "files BIGINT, symbols BIGINT, refs BIGINT, by_kind MAP<STRING, BIGINT>, by_lang MAP<STRING, BIGINT>", "SELECT files, symbols, refs, by_kind, by_lang FROM cg_stats"),
-        ("impact(root STRING)", f"{sym_types}, distance INT",
-         f"WITH {levels('impact.root', 3, callers)}, hit AS (SELECT DISTINCT a.name, a.d, e.file_id FROM reached a JOIN cg_edge_files e ON e.src = a.name JOIN reached b ON b.name = e.dst AND b.d = a.d - 1) "
-         f"SELECT {of_s}, hit.d FROM hit JOIN cg_symbols s ON s.name = hit.name AND s.file_id = hit.file_id"),
-        ("neighborhood(root STRING)", f"{sym_types}, distance INT", f"WITH {levels('neighborhood.root', 2, near)} SELECT {of_s}, r.d FROM reached r JOIN cg_symbols s ON s.name = r.name"),
+        ("impact(root STRING, hops INT DEFAULT 3)", f"{sym_types}, distance INT",
+         f"WITH {reached('impact.root')} SELECT {of_s}, hit.d FROM hit JOIN cg_symbols s ON s.name = hit.name AND s.file_id = hit.file_id WHERE hit.d <= impact.hops"),
+        ("neighborhood(root STRING, hops INT DEFAULT 2)", f"{sym_types}, distance INT", f"WITH {levels('neighborhood.root', 2, near)} SELECT {of_s}, r.d FROM reached r JOIN cg_symbols s ON s.name = r.name WHERE r.d <= neighborhood.hops"),
+        (f"context(query STRING, most INT DEFAULT {schema.CONTEXT_SYMBOLS})", f"{sym_types}, sites BIGINT, is_seed BOOLEAN", related),
+        ("affected(changed ARRAY<STRING>, hops INT DEFAULT 3)", "path STRING, is_changed BOOLEAN, is_test BOOLEAN", affected),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE({types}) RETURN {body}")

@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graphloom import queries, source_queries
+from graphloom import language_queries, queries, source_queries
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES = queries.queries() | source_queries.queries()
-ORACLES = queries.oracle_sql() | source_queries.oracle_sql()
+QUERIES = queries.queries() | source_queries.queries() | language_queries.queries()
+ORACLES = queries.oracle_sql() | source_queries.oracle_sql() | language_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")

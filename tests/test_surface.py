@@ -97,13 +97,13 @@ def test_installer(tmp_path):
     assert [o.action for o in install.install(tmp_path)] == ["added", "added"]
     path = tmp_path / ".mcp.json"
     path.write_text('{"mcpServers": {"other": {"command": "x"}}, "keep": 1}')
-    assert install.install_into("claude", tmp_path).action == "added" and install.install_into("claude", tmp_path).action == "updated"
+    assert [install.install(tmp_path, ["claude"])[0].action for _ in range(2)] == ["added", "updated"]
     config = json.loads(path.read_text())
     assert config["keep"] == 1 and set(config["mcpServers"]) == {"other", "graphloom"}
     for broken in ("{no json", "[1]", '{"mcpServers": 3}'):
         path.write_text(broken)
-        install.install_into("claude", tmp_path)
+        install.install(tmp_path, ["claude"])
         assert set(json.loads(path.read_text())["mcpServers"]) == {"graphloom"}
     assert '"mcp", "."' in install.toml_snippet()
     with pytest.raises(ValueError):
-        install.config_path("vim", tmp_path)
+        install.install(tmp_path, ["vim"])
