@@ -11,8 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from . import near_copies
+from .common import materialize, task_count, temporary_tables, text_or_empty
 from .components import connected_components
+from .planes import bit_planes
 
 SEED = 42
 #: 64 bits in six runs. Fingerprints at 4 or fewer differing bits agree on two runs at least.
@@ -106,10 +108,8 @@ def link_sorted(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.n
     label = np.arange(n)
     if n < 2:
         return label
-    words = -(-n // 64)
-    bits = np.zeros((words * 64, 8), dtype=np.uint8)
-    bits[:n] = fps.astype("<u8").view(np.uint8).reshape(n, 8)
-    planes = np.packbits(np.unpackbits(bits, axis=1, bitorder="little").T.copy(), axis=1, bitorder="little").view("<u8")
+    planes = bit_planes(fps)
+    words = planes.shape[1]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))  # one past each row's key
     left = ends - np.arange(n) - 1  # rows of its key that follow
@@ -187,8 +187,8 @@ def _split_hot(keyed: DataFrame) -> DataFrame:
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp long) distinct -> (fp, root) for those with a link."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _split_hot(_keyed(fps)).repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "fp")
+    keyed = _keyed(fps)
+    rows = _split_hot(keyed).repartition(task_count(keyed), "key", "chunk").sortWithinPartitions("key", "chunk", "fp")
     return connected_components(rows.mapInArrow(_links, "a long, b long")).withColumnRenamed("node", "fp")
 
 
@@ -205,26 +205,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("tx"))
     one = materialize(rows.mapInArrow(_fingerprints(shingle), "doc_id long, tx long, fp long"), "fingerprints")
-    nodes = materialize(one.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = fingerprint_components(nodes.select("fp"))
-    of = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = materialize(of.join(least, "root").select("fp", "root", "component_id"), "components")
+    with temporary_tables(docs.sparkSession):
+        nodes = materialize(one.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        roots = fingerprint_components(nodes.select("fp"))
+        of = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+        known = materialize(of.join(least, "root").select("fp", "root", "component_id"), "components", outlives=True)
     return one.join(known, "fp").select("doc_id", "tx", "fp", "root", "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The rows of docs, one of each component: that of the smallest doc_id, null last; of rows that share it, one of the smallest text hash."""
-    found = materialize(near_duplicates(docs, shingle), "near-duplicates")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")).alias("r")
-    keep = found.groupBy("fp", "root").agg(first).groupBy("root").agg(F.min("r").alias("r"))
-    keep = keep.select(F.col("r.doc_id").alias("__lg_id"), F.col("r.tx").alias("__lg_tx"))
-    repeated = not found.groupBy("doc_id", "tx").count().where("count > 1").isEmpty()
-    tagged = docs.withColumn("__lg_text", F.xxhash64(text_or_empty()))
-    out = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("__lg_id")) & (F.col("__lg_text") == F.col("__lg_tx")), "left_semi")
+def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, least: float | None = None) -> DataFrame:
+    """The rows of docs, one of each group of near copies: that of the smallest doc_id, null last; of rows that share it, one of the smallest text hash.
+
+    Without ``least`` a group is a component of fingerprints at RADIUS or fewer
+    differing bits; with it, of texts whose fingerprints (of their distinct
+    shingles) differ in ``radius`` bits or fewer and whose shingle sets have
+    that Jaccard similarity or more, exactly. A null text is empty; texts
+    without a word are copies of each other; further columns, whatever their
+    names, are unchanged; no rows give no rows.
+    """
+    with temporary_tables(docs.sparkSession):
+        if least is not None:
+            keep, repeated = near_copies.groups(docs, shingle, radius, least)
+        else:
+            found = materialize(near_duplicates(docs, shingle), "near-duplicates")
+            first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")).alias("r")
+            keep = found.groupBy("fp", "root").agg(first).groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.tx")
+            repeated = not found.groupBy("doc_id", "tx").count().where("count > 1").isEmpty()
+        keep = materialize(keep.select(F.col("doc_id").alias("d"), F.col("tx").alias("t")), "kept", outlives=True)
+    rows = docs.select(F.struct("*").alias("r")).select("r", F.xxhash64(F.coalesce("r.text", F.lit(""))).alias("x"))
+    out = rows.join(keep, F.col("r.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")))
     if repeated:
-        out = out.dropDuplicates(["doc_id", "__lg_text"])
-    return out.select(docs.columns)
+        out = out.dropDuplicates(["d", "t"])
+    return out.select("r.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

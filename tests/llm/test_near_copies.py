@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import near_copies
+from graphloom.llm import near_copies, planes, simhash
 
 
 def shingles(text):
@@ -57,7 +58,39 @@ def test_stage_by_brute_force(make_docs, spark, monkeypatch, most):
 
 def test_odd_rows(odd):
     df, rows = odd
-    kept = near_copies.keep_representatives(df).collect()
+    kept = simhash.keep_representatives(df, shingle=5, radius=28, least=0.8).collect()
     assert len({(x["doc_id"], x["text"]) for x in kept}) == len(kept) < len(rows)
     assert sum(x["doc_id"] in (100, 101, 102) for x in kept) == 1
-    assert near_copies.keep_representatives(df.limit(0)).count() == 0
+    assert simhash.keep_representatives(df.limit(0), shingle=5, radius=28, least=0.8).count() == 0
+
+
+@pytest.mark.parametrize("n,radius", [(1, 0), (5, 3), (64, 20), (65, 28), (500, 25)])
+def test_lanes_by_counting(n, radius):
+    r = np.random.default_rng(n)
+    fps = r.integers(0, 1 << 64, n, dtype=np.uint64)
+    fps[::3] = fps[0] ^ (np.uint64(1) << r.integers(0, 64, len(fps[::3]), dtype=np.uint64))
+    lanes = r.random(n) < 0.7
+    got = planes.near_lanes(planes.bit_planes(fps), int(fps[0]), radius, lanes)
+    assert got.tolist() == (lanes & (np.bitwise_count(fps ^ fps[0]) <= radius)).tolist()
+
+
+def test_pairs_at_the_least_similarity_are_within_the_radius():
+    """Fingerprints of sets at 0.8 or a little above, of all sizes."""
+    r = np.random.default_rng(3)
+    far = 0
+    for n in (4, 5, 8, 9, 12, 18, 45, 90, 400):
+        for _ in range(300):
+            common = r.integers(0, 1 << 64, n, dtype=np.uint64)
+            more = int(n * 0.25)
+            a = int(r.integers(0, more + 1))
+            x, y = (np.r_[common, r.integers(0, 1 << 64, k, dtype=np.uint64)] for k in (a, more - a))
+            assert n / (n + more) >= 0.8
+            far = max(far, (near_copies.set_fingerprint(x) ^ near_copies.set_fingerprint(y)).bit_count())
+    assert far <= near_copies.RADIUS
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"the same text {i // 2} in two rows of this table", i, "a", "b") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __lg_id int, r string, t string")
+    for kept in (simhash.keep_representatives(df, shingle=5, radius=28, least=0.8), simhash.keep_representatives(df)):
+        assert kept.columns == df.columns and sorted(tuple(x) for x in kept.collect()) == rows[::2]
