@@ -5,12 +5,12 @@ batch is a few arrays. Counts of all words are merged by ranges of their
 hashes, and each batch gets back the counts of its own words: no vocabulary is
 ever in one place. Words are known by 64-bit hashes.
 
-Classes start from an exchange over units: each of the UNITS most frequent words
-is a unit, and all other words belong to one of POOLS units by their ending.
-The matrix of unit bigrams is of fixed size and counts every training token.
-Then every other word of LEAST or more training tokens moves by itself, by the
-classes beside it, counted over the corpus by ranges of hashes. Only rarer and
-unseen words keep their pool's class.
+Classes start from an exchange over units, until none moves: each of the UNITS
+most frequent words is a unit, and all other words begin in one of POOLS units
+by their ending. The matrix of unit bigrams is of fixed size and counts every
+training token. Then every other word of the training texts moves by itself, by
+the classes beside it, counted over the corpus by ranges of hashes, in rounds
+until few tokens move. Words that no training text has are of their pool's class.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, temporary_tables, text_or_empty
 
 UNITS = 1024
 POOLS = 512
 CLASSES = 64
 ALPHA = 0.1
-#: Training tokens from which a word has a class of its own choice.
-LEAST = 2
+#: Rounds in which words choose their classes, at most, and the share of training tokens that move in a round worth another.
+ROUNDS = 2
+MOVING = 0.005
 BATCH_BYTES = 8 << 20
 #: Unit 0 is the end of a text; frequent words follow, then pools.
 END = 0
@@ -237,7 +238,7 @@ def _sum_bigrams(units: int):
     return run
 
 
-def exchange(m: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
+def exchange(m: np.ndarray, classes: int, rounds: int = 100) -> np.ndarray:
     """The class of each unit by the exchange algorithm: units move, most frequent first, to the class that raises the likelihood of the bigrams m most.
 
     The end of a text keeps class 0 to itself. Ties go to the smaller class.
@@ -283,7 +284,7 @@ def exchange(m: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
             n[b, b] += own
             moved += b != a
             cls[u] = b
-        if moved <= len(order) // 500:
+        if not moved:
             break
     return cls
 
@@ -316,43 +317,65 @@ class ClassModel:
         return np.log10((count + ALPHA) / (self.class_tokens[cls] + ALPHA * (self.class_words[cls] + 1)))
 
 
-def _neighbours(model: ClassModel, bits: int):
-    """Cut the words of a batch into ranges of the hash, with their classes, training counts and the classes before and after them.
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray | None, np.ndarray | None]]:
+    """Rows sorted by batch, kind and range -> each batch with the corpus counts and the classes of its words, where there are rows of them."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    batch, counts, classes = None, [], []
+    for b in batches:
+        for row in b.to_pylist():
+            if row["batch"] != batch:
+                batch, counts, classes = row["batch"], [], []
+            if row["kind"] == 0:
+                counts.append(np.frombuffer(unpack(row["found"]), "<i8"))
+            elif row["kind"] == 1:
+                classes.append(np.frombuffer(unpack(row["found"]), "<u2"))
+            else:
+                yield row, np.concatenate(counts) if counts else None, np.concatenate(classes).astype(np.int64) if classes else None
+
+
+def _neighbours(model: ClassModel, bits: int, first: bool):
+    """Cut the words of a batch into ranges of the hash, with their classes, training counts and the classes before and after them; and count class bigrams.
 
     The cells of a word are classes before it, and after them classes behind
-    it; the frequent words have none, as their classes are settled.
+    it; the frequent words have none, as their classes are settled. In the first
+    round classes are those of the units.
     """
     v, k = model.vocabulary, len(model.class_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            for row in b.to_pylist():
-                h, c = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4")
-                units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
+        pairs = np.zeros(k * k, dtype=np.int64)
+        names = [c.split()[0] for c in NEIGHBOURS_SCHEMA.split(", ")]
+        for row, _, cls in ((r, None, None) for b in batches for r in b.to_pylist()) if first else _gathered(batches):
+            h, c = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4")
+            units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
+            if cls is None:
                 cls = model.cls[units]
-                word, _, starts = _sequence(row, units)
-                of = np.r_[cls, model.cls[END]][word]
-                own = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(np.r_[starts, len(word)]))
-                at = np.flatnonzero(own & (word >= 0) & np.r_[units > len(v.top), False][word])
-                before = np.where(at > 0, of[at - 1], model.cls[END])
-                cell, n = np.unique(np.concatenate([word[at] * 2 * k + before, word[at] * 2 * k + k + of[at + 1]]), return_counts=True)
-                cells = np.bincount(cell // (2 * k), minlength=len(h))
-                cut = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                upto = np.r_[0, np.cumsum(cells)]
-                out = []
-                for r, (x, y) in enumerate(zip(cut, np.r_[cut[1:], len(h)])):
-                    if y > x:
-                        z = slice(upto[x], upto[y])
-                        out.append((r, row["batch"], h[x:y].tobytes(), press(cls[x:y].astype("<u2").tobytes()), press(c[x:y].tobytes()), press(cells[x:y].astype("<u4").tobytes()), press((cell[z] % (2 * k)).astype("<u2").tobytes()), press(n[z].astype("<u4").tobytes())))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["range", "batch", "h", "cls", "c", "cells", "cell", "n"])
+            word, _, starts = _sequence(row, units)
+            of = np.r_[cls, model.cls[END]][word]
+            before = np.r_[model.cls[END], of[:-1]]
+            own = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(np.r_[starts, len(word)]))
+            pairs += np.bincount(before[own] * k + of[own], minlength=k * k)
+            at = np.flatnonzero(own & (word >= 0) & np.r_[units > len(v.top), False][word])
+            cell, n = np.unique(np.concatenate([word[at] * 2 * k + before[at], word[at] * 2 * k + k + of[at + 1]]), return_counts=True)
+            cells = np.bincount(cell // (2 * k), minlength=len(h))
+            cut = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            upto = np.r_[0, np.cumsum(cells)]
+            out = []
+            for r, (x, y) in enumerate(zip(cut, np.r_[cut[1:], len(h)])):
+                if y > x:
+                    z = slice(upto[x], upto[y])
+                    out.append((r, row["batch"], h[x:y].tobytes(), press(cls[x:y].astype("<u2").tobytes()), press(c[x:y].tobytes()), press(cells[x:y].astype("<u4").tobytes()), press((cell[z] % (2 * k)).astype("<u2").tobytes()), press(n[z].astype("<u4").tobytes()), None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _NEIGHBOURS)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1, None, *[None] * 6, pairs.tolist()], _NEIGHBOURS)], names)
 
     return run
 
 
-NEIGHBOURS_SCHEMA = "range long, batch long, h binary, cls binary, c binary, cells binary, cell binary, n binary"
-CHOSEN_SCHEMA = "range long, batch long, classes binary, class_words array<long>, class_tokens array<long>"
+NEIGHBOURS_SCHEMA = "range long, batch long, h binary, cls binary, c binary, cells binary, cell binary, n binary, pairs array<long>"
+_NEIGHBOURS = [pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+CHOSEN_SCHEMA = "range long, batch long, classes binary, class_words array<long>, class_tokens array<long>, moved long"
 
 
 def best_classes(n: np.ndarray, cls: np.ndarray, word: np.ndarray, cell: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -398,15 +421,16 @@ def _choose(n: np.ndarray):
         total = np.bincount(place, weights=read(3, "<u4"), minlength=len(own)).astype(np.int64)
         cell, at = np.unique(np.repeat(place, read(4, "<u4")) * 2 * k + read(5, "<u2"), return_inverse=True)
         times = np.bincount(at, weights=read(6, "<u4"), minlength=len(cell))
-        moving = np.flatnonzero((total >= LEAST) & (np.bincount(cell // (2 * k), minlength=len(own)) > 0))
+        moving = np.flatnonzero(np.bincount(cell // (2 * k), minlength=len(own)) > 0)
+        was = cls.copy()
         number = np.full(len(own), -1)
         number[moving] = np.arange(len(moving))
         word = number[cell // (2 * k)]
         cls[moving] = best_classes(n, cls[moving], word[word >= 0], (cell % (2 * k))[word >= 0], times[word >= 0])
         parts = np.split(cls[place], np.cumsum([len(r[1]) // 8 for r in rows])[:-1])
-        facts = np.bincount(cls[total > 0], minlength=k).tolist(), np.bincount(cls, weights=total, minlength=k).astype(np.int64).tolist()
+        facts = np.bincount(cls[total > 0], minlength=k).tolist(), np.bincount(cls, weights=total, minlength=k).astype(np.int64).tolist(), int(total[cls != was].sum())
         columns = [[key] * (len(rows) + 1), [*(r[0] for r in rows), None], [*(press(p.astype("<u2").tobytes()) for p in parts), None], *([None] * len(rows) + [x] for x in facts)]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], [c.split()[0] for c in CHOSEN_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,26 +457,18 @@ def _label(model: ClassModel):
     tokens, words = v.tokens + v.texts, v.words + int(v.texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, press, batch, counts, classes = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), None, [], []
-        for b in batches:
-            for row in b.to_pylist():
-                if row["batch"] != batch:
-                    batch, counts, classes = row["batch"], [], []
-                if row["kind"] == 0:
-                    counts.append(np.frombuffer(unpack.decompress(row["counts"]), "<i8"))
-                    continue
-                if row["kind"] == 1:
-                    classes.append(np.frombuffer(unpack.decompress(row["counts"]), "<u2"))
-                    continue
-                count = np.concatenate([*counts, [v.texts]])  # the last is the end's
-                of = np.concatenate([*classes, [model.cls[END]]]).astype(np.int64)
-                base = np.log10((count + ALPHA) / (tokens + ALPHA * (words + 1)))
-                emit = model.log_emission(count, of)
-                word, _, starts = _sequence(row, of[:-1])
-                n = np.diff(np.r_[starts, len(word)])
-                sums = [np.add.reduceat(x, starts) for x in ((count[word] > 0).astype("<i8"), base[word], emit[word])]
-                out = (row["doc_ids"], row["nulls"], row["held"], n.astype("<i8").tobytes(), *(x.tobytes() for x in sums), press.compress(of[word].astype("<u2").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in LABELLED_SCHEMA.split(", ")])
+        press = zstandard.ZstdCompressor(level=1)
+        for row, counts, classes in _gathered(batches):
+            none = np.zeros(0, dtype=np.int64)
+            count = np.r_[none if counts is None else counts, v.texts]  # the last is the end's
+            of = np.r_[none if classes is None else classes, model.cls[END]]
+            base = np.log10((count + ALPHA) / (tokens + ALPHA * (words + 1)))
+            emit = model.log_emission(count, of)
+            word, _, starts = _sequence(row, of[:-1])
+            n = np.diff(np.r_[starts, len(word)])
+            sums = [np.add.reduceat(x, starts) for x in ((count[word] > 0).astype("<i8"), base[word], emit[word])]
+            out = (row["doc_ids"], row["nulls"], row["held"], n.astype("<i8").tobytes(), *(x.tobytes() for x in sums), press.compress(of[word].astype("<u2").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [c.split()[0] for c in LABELLED_SCHEMA.split(", ")])
 
     return run
 
@@ -506,7 +522,7 @@ def _vocabulary(merged: DataFrame, texts: int, units: int) -> Vocabulary:
     return Vocabulary(texts, total["t"], total["w"], h[order], np.array([r["top_n"] for r in top], np.int64)[order], np.array([r["top_pool"] for r in top], np.int64)[order], pool_words, pool_tokens)
 
 
-def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, holdout: tuple[int, int] = (10, 0)) -> DataFrame:
+def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, holdout: tuple[int, int] = (10, 0), rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; one end
@@ -514,45 +530,65 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
     r are held out from learning; a null doc_id is hashed as empty. A null text
     is empty and scores its end. score is the log10 probability of the text
     under the class model: class given the last class, word given its class.
-    Equal rows count as often as they occur; no rows give no rows; other
-    columns are not read.
+    Equal rows count as often as they occur; a very long text is a batch of its
+    own; no rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     m, r = holdout
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % m == r
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), text_or_empty().alias("text"))
-    batched = materialize(rows.mapInArrow(_batched, BATCH_SCHEMA), "word-batches")
-    texts = rows.where(~F.col("held")).count()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, math.ceil(math.log2(8 * math.sqrt(batched.count() + 1))))
-    ranges = batched.select("batch", "h", "c", "pool").mapInArrow(_to_ranges(bits), "range long, batch long, h binary, c binary, pool binary")
-    merged = materialize(ranges.repartition(n, "range").sortWithinPartitions("range", "batch").mapInArrow(_merge_ranges(units), MERGED_SCHEMA), "word-counts")
-    vocabulary = _vocabulary(merged, texts, units)
-    # a task sends its whole matrix: their number follows the cluster, not the corpus
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    pairs = batched.select("held", "lengths", "tokens", "h", "pool").coalesce(tasks).mapInArrow(_bigrams(vocabulary), "a long, b array<long>, n array<long>")
-    lines = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_sum_bigrams(vocabulary.units), "a long, n array<long>").collect()
-    matrix = np.zeros((vocabulary.units, vocabulary.units))
-    for x in lines:
-        matrix[x["a"]] = x["n"]
-    model = ClassModel.learn(vocabulary, matrix, classes)
-    hot = np.eye(classes)[model.cls]
-    beside = batched.mapInArrow(_neighbours(model, bits + 1), NEIGHBOURS_SCHEMA).repartition(n, "range").sortWithinPartitions("range", "batch")
-    chosen = materialize(beside.mapInArrow(_choose(hot.T @ matrix @ hot), CHOSEN_SCHEMA), "word-classes")
-    model.class_words, model.class_tokens = np.zeros(classes), np.zeros(classes)
-    for x in chosen.where("batch is null").select(F.posexplode(F.arrays_zip("class_words", "class_tokens")).alias("c", "x")).groupBy("c").agg(F.sum("x.class_words").alias("w"), F.sum("x.class_tokens").alias("t")).collect():
-        model.class_words[x["c"]], model.class_tokens[x["c"]] = x["w"], x["t"]
-    model.class_words[model.cls[END]] += int(texts > 0)
-    model.class_tokens[model.cls[END]] += texts
-    fields = ["batch", "kind", "range", "counts", "doc_ids", "nulls", "held", "lengths", "tokens"]
-    none = [F.lit(None).cast("binary").alias(c) for c in fields[4:]]
-    back = merged.where("batch is not null").select("batch", F.lit(0).alias("kind"), "range", "counts", *none)
-    moved = chosen.where("batch is not null").select("batch", F.lit(1).alias("kind"), "range", F.col("classes").alias("counts"), *none)
-    whole = batched.select("batch", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("range"), F.lit(None).cast("binary").alias("counts"), *fields[4:])
-    met = back.union(moved).union(whole).repartition(n, "batch").sortWithinPartitions("batch", "kind", "range")
-    labelled = materialize(met.mapInArrow(_label(model), LABELLED_SCHEMA), "labelled")
-    pairs = np.zeros((classes, classes))
-    for x in labelled.select("held", "lengths", "classes").coalesce(tasks).mapInArrow(_class_bigrams(classes), "n array<long>").collect():
-        pairs += np.array(x["n"]).reshape(classes, classes)
-    model.log_trans = ClassModel.transitions(pairs)
+    with temporary_tables(spark):
+        batched = materialize(rows.mapInArrow(_batched, BATCH_SCHEMA), "word-batches")
+        texts = rows.where(~F.col("held")).count()
+        n_batches = batched.count()
+        # a range is merged by one task, in memory: ranges and what each batch gives one grow alike, as the root of the corpus
+        bits = max(6, math.ceil(math.log2(8 * math.sqrt(n_batches + 1))))
+        by_batch = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_batches)
+
+        def by_range(pieces: DataFrame, bits: int) -> DataFrame:
+            return pieces.repartitionById(1 << bits, F.col("range").cast("int")).sortWithinPartitions("range", "batch")
+
+        ranges = batched.select("batch", "h", "c", "pool").mapInArrow(_to_ranges(bits), "range long, batch long, h binary, c binary, pool binary")
+        merged = materialize(by_range(ranges, bits).mapInArrow(_merge_ranges(units), MERGED_SCHEMA), "word-counts")
+        vocabulary = _vocabulary(merged, texts, units)
+        # a task sends its whole matrix: their number follows the cluster, not the corpus
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        pairs = batched.select("held", "lengths", "tokens", "h", "pool").coalesce(tasks).mapInArrow(_bigrams(vocabulary), "a long, b array<long>, n array<long>")
+        lines = pairs.repartition("a").sortWithinPartitions("a").mapInArrow(_sum_bigrams(vocabulary.units), "a long, n array<long>").collect()
+        matrix = np.zeros((vocabulary.units, vocabulary.units))
+        for x in lines:
+            matrix[x["a"]] = x["n"]
+        model = ClassModel.learn(vocabulary, matrix, classes)
+        fields = ["doc_ids", "nulls", "held", "lengths", "tokens", "h", "c", "pool"]
+
+        def together(parts: list[tuple[int, DataFrame, str]], wanted: list[str]) -> DataFrame:
+            """Batches, each after what is known of its words."""
+            none = [F.lit(None).cast("binary").alias(c) for c in wanted]
+            out = batched.select("batch", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("range"), F.lit(None).cast("binary").alias("found"), *wanted)
+            for kind, rows, column in parts:
+                out = out.union(rows.where("batch is not null").select("batch", F.lit(kind).alias("kind"), "range", F.col(column).alias("found"), *none))
+            return out.repartition(by_batch, "batch").sortWithinPartitions("batch", "kind", "range")
+
+        chosen = None
+        for nth in range(rounds):
+            source = batched if chosen is None else together([(1, chosen, "classes")], fields[2:])
+            beside = materialize(source.mapInArrow(_neighbours(model, bits + 1, chosen is None), NEIGHBOURS_SCHEMA), "neighbours")
+            n = np.zeros(classes * classes)
+            for x in beside.where("range < 0").select(F.posexplode("pairs").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                n[x["cell"]] = x["n"]
+            chosen = materialize(by_range(beside.where("range >= 0").drop("pairs"), bits + 1).mapInArrow(_choose(n.reshape(classes, classes)), CHOSEN_SCHEMA), "word-classes")
+            moved = chosen.agg(F.sum("moved")).first()[0] or 0
+            if moved <= MOVING * max(1, vocabulary.tokens):
+                break
+        model.class_words, model.class_tokens = np.zeros(classes), np.zeros(classes)
+        for x in chosen.where("batch is null").select(F.posexplode(F.arrays_zip("class_words", "class_tokens")).alias("c", "x")).groupBy("c").agg(F.sum("x.class_words").alias("w"), F.sum("x.class_tokens").alias("t")).collect():
+            model.class_words[x["c"]], model.class_tokens[x["c"]] = x["w"], x["t"]
+        model.class_words[model.cls[END]] += int(texts > 0)
+        model.class_tokens[model.cls[END]] += texts
+        met = together([(0, merged, "counts"), (1, chosen, "classes")], fields[:5])
+        labelled = materialize(met.mapInArrow(_label(model), LABELLED_SCHEMA), "labelled", outlives=True)
+        counts = np.zeros((classes, classes))
+        for x in labelled.select("held", "lengths", "classes").coalesce(tasks).mapInArrow(_class_bigrams(classes), "n array<long>").collect():
+            counts += np.array(x["n"]).reshape(classes, classes)
+        model.log_trans = ClassModel.transitions(counts)
     return labelled.mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
