@@ -16,7 +16,7 @@ from .common import materialize, text_or_empty
 from .tokens import TokenizerSpec, encoder
 
 #: Partitions whose open windows one task packs on.
-FAN_IN = 64
+FAN_IN = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
