@@ -265,13 +265,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> ChainCrf | Non
     sampled together beyond the bound are left out by their order.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    marked = rows.select("text", has_span().alias("has"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("draw"))
-    n = {r["has"]: r["count"] for r in marked.groupBy("has").count().collect()}
+    n = {r["has"]: r["count"] for r in rows.groupBy(has_span().alias("has")).count().collect()}
     if not n.get(True):
         return None
     span = 1 << 40
-    most = F.when(F.col("has"), int(span * min(1.0, sample / n[True]))).otherwise(int(span * min(1.0, sample / n.get(False, 1))))
-    part = marked.where(F.pmod("draw", F.lit(span)) < most)
+    of = {k: int(span * min(1.0, sample / max(1, n.get(k, 0)))) for k in (True, False)}
+    drawn = rows.select("text", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("draw"))
+    at = F.pmod("draw", F.lit(span))
+    part = drawn.where(at < max(of.values())).select("text", has_span().alias("has"), "draw").where(at < F.when(F.col("has"), of[True]).otherwise(of[False]))
     taken = part.mapInArrow(_windows(seed), "has boolean, draw long, k long, slots array<int>, sizes array<int>, labels array<int>")
     taken = taken.groupBy("draw", "k").agg(*(F.min(c).alias(c) for c in ("slots", "sizes", "labels"))).orderBy("draw", "k").limit(3 * sample * WINDOWS).collect()
     indptr, indices, sequences, at = [0], [], [], 0
