@@ -142,11 +142,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, holdout: tuple
         rows = rows.where(_remainder(holdout[0]) != holdout[1])
     span = 1 << 40
     rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(span)).alias("draw"))
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(span)) * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))).alias("most"))
+    counts = rows.groupBy("lang").count().collect()
+    # one row a language: the model, which every worker holds, has DIM weights for each
+    share = docs.sparkSession.createDataFrame([(c["lang"], int(span * min(1.0, per_language / c["count"]))) for c in counts], "lang string, most long")
     start = F.col("draw") % F.greatest(F.lit(1), F.length("text") - STRETCH + 1) + 1
-    drawn = rows.join(share, "lang").where("draw < most").select("lang", "draw", F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("text"))
-    bound = 2 * per_language * max(1, share.count())
-    sample = drawn.orderBy("draw", "lang", "text").limit(bound).collect()
+    drawn = rows.join(F.broadcast(share), "lang").where("draw < most").select("lang", "draw", F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("text"))
+    sample = drawn.orderBy("draw", "lang", "text").limit(2 * per_language * max(1, len(counts))).collect()
     names = sorted({r["lang"] for r in sample if words_of(r["text"])})
     if not names:
         return LanguageModel([], ChainCrf(np.zeros((DIM, 0)), np.zeros((0, 0)), np.zeros(0)), holdout)
