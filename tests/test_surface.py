@@ -2,12 +2,14 @@
 
 import io
 import json
+from pathlib import Path
 
 import pytest
 
 from graphloom import install
 from graphloom.cli import main
 from graphloom.plans.graph import CodeGraph
+from graphloom.plans.scratch import shared_dir
 from graphloom.server import Server
 from graphloom.tools import TOOLS, call_tool, register_sql
 
@@ -63,6 +65,25 @@ def test_server(g):
     assert answers[4]["error"]["code"] == -32601 and answers[6]["error"]["code"] == -32700
 
 
+def test_server_keeps_no_tables(spark, g):
+    """Edges are resolved once a state; what calls write, and at last the edges, are deleted."""
+    folder = Path(shared_dir(spark)) / "graphloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    state = ["a"]
+    server = Server(lambda: g.with_options(), lambda: state[0])
+    call = lambda n, **a: server.handle({"id": 1, "method": "tools/call", "params": {"name": n, "arguments": a}})["result"]["content"][0]["text"]
+    for _ in range(2):
+        first = call("impact", name="loadConfig")
+        left = set(folder.iterdir()) - before
+        assert all(p.name.startswith("edge") for p in left)
+        for n, a in (("neighborhood", {"name": "main"}), ("context", {"query": "config"}), ("affected", {"files": ["a.ts"]}), ("impact", {"name": "loadConfig"}), ("find_callees", {"name": "main"})):
+            assert call(n, **a)
+        assert set(folder.iterdir()) - before == left and call("impact", name="loadConfig") == first
+        state[0] = "b"
+    server.close()
+    assert set(folder.iterdir()) == before
+
+
 def test_sql_functions(spark, g):
     register_sql(g)
     assert [r["name"] for r in spark.sql("SELECT name FROM search_symbols('CONFIG') ORDER BY name").collect()] == ["Config", "loadConfig"]
@@ -72,6 +93,9 @@ def test_sql_functions(spark, g):
     assert [(r["name"], r["distance"]) for r in spark.sql("SELECT * FROM impact('loadConfig')").collect()] == [("main", 1)]
     assert {(r["name"], r["distance"]) for r in spark.sql("SELECT * FROM neighborhood('main')").collect()} == {("main", 0), ("loadConfig", 1)}
     assert spark.sql("SELECT * FROM graph_stats()").first()["symbols"] == 3 and spark.sql("SELECT * FROM find_importers('x')").count() == 0
+    assert [(r["name"], r["is_seed"]) for r in spark.sql("SELECT * FROM context('config') ORDER BY is_seed DESC, name").collect()] == [("Config", True), ("loadConfig", True), ("main", False)]
+    assert spark.sql("SELECT * FROM impact('loadConfig', 0)").count() == 0 and spark.sql("SELECT * FROM search_symbols('o', 'function', 1)").count() == 1
+    assert [tuple(r) for r in spark.sql("SELECT * FROM affected(array('a.ts'))").collect()] == [("a.ts", True, False)]
     assert spark.sql("SELECT * FROM file_outline('a.ts')").count() == 3 and spark.sql("SELECT * FROM find_references('gone')").count() == 1
 
 
