@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, temporary_tables, text_or_empty
+from .common import drop_scratch, free_shuffles, materialize, temporary_tables, text_or_empty
 
 UNITS = 1024
 POOLS = 512
@@ -38,6 +38,8 @@ ALPHA = 0.1
 ROUNDS = 2
 MOVING = 0.005
 BATCH_BYTES = 8 << 20
+#: Marks the class of a word that is a unit of its own.
+SETTLED = 1 << 15
 #: Unit 0 is the end of a text; frequent words follow, then pools.
 END = 0
 BATCH_SCHEMA = "batch long, doc_ids binary, nulls binary, held binary, lengths binary, tokens binary, h binary, c binary, pool binary"
@@ -346,17 +348,19 @@ def _neighbours(model: ClassModel, bits: int, first: bool):
         press = zstandard.ZstdCompressor(level=1).compress
         pairs = np.zeros(k * k, dtype=np.int64)
         names = [c.split()[0] for c in NEIGHBOURS_SCHEMA.split(", ")]
-        for row, _, cls in ((r, None, None) for b in batches for r in b.to_pylist()) if first else _gathered(batches):
-            h, c = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4")
-            units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
-            if cls is None:
-                cls = model.cls[units]
-            word, _, starts = _sequence(row, units)
+        for row, _, known in ((r, None, None) for b in batches for r in b.to_pylist()) if first else _gathered(batches):
+            h = np.frombuffer(row["h"], "<u8")
+            if first:
+                units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
+                known = model.cls[units] | np.where(units <= len(v.top), SETTLED, 0)
+            cls, free = known & (SETTLED - 1), known < SETTLED
+            word, _, starts = _sequence(row, cls)
             of = np.r_[cls, model.cls[END]][word]
             before = np.r_[model.cls[END], of[:-1]]
             own = np.repeat(~np.frombuffer(row["held"], dtype=bool), np.diff(np.r_[starts, len(word)]))
             pairs += np.bincount(before[own] * k + of[own], minlength=k * k)
-            at = np.flatnonzero(own & (word >= 0) & np.r_[units > len(v.top), False][word])
+            c = np.bincount(word[own & (word >= 0)], minlength=len(h)).astype("<u4")
+            at = np.flatnonzero(own & np.r_[free, False][word])
             cell, n = np.unique(np.concatenate([word[at] * 2 * k + before[at], word[at] * 2 * k + k + of[at + 1]]), return_counts=True)
             cells = np.bincount(cell // (2 * k), minlength=len(h))
             cut = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
@@ -365,7 +369,7 @@ def _neighbours(model: ClassModel, bits: int, first: bool):
             for r, (x, y) in enumerate(zip(cut, np.r_[cut[1:], len(h)])):
                 if y > x:
                     z = slice(upto[x], upto[y])
-                    out.append((r, row["batch"], h[x:y].tobytes(), press(cls[x:y].astype("<u2").tobytes()), press(c[x:y].tobytes()), press(cells[x:y].astype("<u4").tobytes()), press((cell[z] % (2 * k)).astype("<u2").tobytes()), press(n[z].astype("<u4").tobytes()), None))
+                    out.append((r, row["batch"], h[x:y].tobytes(), press(known[x:y].astype("<u2").tobytes()), press(c[x:y].tobytes()), press(cells[x:y].astype("<u4").tobytes()), press((cell[z] % (2 * k)).astype("<u2").tobytes()), press(n[z].astype("<u4").tobytes()), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _NEIGHBOURS)], names)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1, None, *[None] * 6, pairs.tolist()], _NEIGHBOURS)], names)
@@ -417,7 +421,8 @@ def _choose(n: np.ndarray):
         unpack, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         read = lambda i, kind: np.concatenate([np.frombuffer(unpack(r[i]), kind) for r in rows]).astype(np.int64)
         own, first, place = np.unique(np.concatenate([np.frombuffer(r[1], "<u8") for r in rows]), return_index=True, return_inverse=True)
-        cls = read(2, "<u2")[first]
+        known = read(2, "<u2")[first]
+        cls, settled = known & (SETTLED - 1), known & SETTLED
         total = np.bincount(place, weights=read(3, "<u4"), minlength=len(own)).astype(np.int64)
         cell, at = np.unique(np.repeat(place, read(4, "<u4")) * 2 * k + read(5, "<u2"), return_inverse=True)
         times = np.bincount(at, weights=read(6, "<u4"), minlength=len(cell))
@@ -427,7 +432,7 @@ def _choose(n: np.ndarray):
         number[moving] = np.arange(len(moving))
         word = number[cell // (2 * k)]
         cls[moving] = best_classes(n, cls[moving], word[word >= 0], (cell % (2 * k))[word >= 0], times[word >= 0])
-        parts = np.split(cls[place], np.cumsum([len(r[1]) // 8 for r in rows])[:-1])
+        parts = np.split((cls | settled)[place], np.cumsum([len(r[1]) // 8 for r in rows])[:-1])
         facts = np.bincount(cls[total > 0], minlength=k).tolist(), np.bincount(cls, weights=total, minlength=k).astype(np.int64).tolist(), int(total[cls != was].sum())
         columns = [[key] * (len(rows) + 1), [*(r[0] for r in rows), None], [*(press(p.astype("<u2").tobytes()) for p in parts), None], *([None] * len(rows) + [x] for x in facts)]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
@@ -461,7 +466,7 @@ def _label(model: ClassModel):
         for row, counts, classes in _gathered(batches):
             none = np.zeros(0, dtype=np.int64)
             count = np.r_[none if counts is None else counts, v.texts]  # the last is the end's
-            of = np.r_[none if classes is None else classes, model.cls[END]]
+            of = np.r_[none if classes is None else classes & (SETTLED - 1), model.cls[END]]
             base = np.log10((count + ALPHA) / (tokens + ALPHA * (words + 1)))
             emit = model.log_emission(count, of)
             word, _, starts = _sequence(row, of[:-1])
@@ -550,6 +555,7 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
 
         ranges = batched.select("batch", "h", "c", "pool").mapInArrow(_to_ranges(bits), "range long, batch long, h binary, c binary, pool binary")
         merged = materialize(by_range(ranges, bits).mapInArrow(_merge_ranges(units), MERGED_SCHEMA), "word-counts")
+        del ranges
         vocabulary = _vocabulary(merged, texts, units)
         # a task sends its whole matrix: their number follows the cluster, not the corpus
         tasks = 4 * spark.sparkContext.defaultParallelism
@@ -558,8 +564,9 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
         matrix = np.zeros((vocabulary.units, vocabulary.units))
         for x in lines:
             matrix[x["a"]] = x["n"]
+        del pairs, lines
         model = ClassModel.learn(vocabulary, matrix, classes)
-        fields = ["doc_ids", "nulls", "held", "lengths", "tokens", "h", "c", "pool"]
+        fields = ["doc_ids", "nulls", "held", "lengths", "tokens", "h"]
 
         def together(parts: list[tuple[int, DataFrame, str]], wanted: list[str]) -> DataFrame:
             """Batches, each after what is known of its words."""
@@ -570,13 +577,18 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
             return out.repartition(by_batch, "batch").sortWithinPartitions("batch", "kind", "range")
 
         chosen = None
-        for nth in range(rounds):
+        for _ in range(rounds):
+            free_shuffles(spark)
             source = batched if chosen is None else together([(1, chosen, "classes")], fields[2:])
             beside = materialize(source.mapInArrow(_neighbours(model, bits + 1, chosen is None), NEIGHBOURS_SCHEMA), "neighbours")
             n = np.zeros(classes * classes)
             for x in beside.where("range < 0").select(F.posexplode("pairs").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
                 n[x["cell"]] = x["n"]
+            if chosen is not None:
+                drop_scratch(chosen)
             chosen = materialize(by_range(beside.where("range >= 0").drop("pairs"), bits + 1).mapInArrow(_choose(n.reshape(classes, classes)), CHOSEN_SCHEMA), "word-classes")
+            drop_scratch(beside)
+            del source, beside
             moved = chosen.agg(F.sum("moved")).first()[0] or 0
             if moved <= MOVING * max(1, vocabulary.tokens):
                 break
@@ -585,6 +597,7 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
             model.class_words[x["c"]], model.class_tokens[x["c"]] = x["w"], x["t"]
         model.class_words[model.cls[END]] += int(texts > 0)
         model.class_tokens[model.cls[END]] += texts
+        free_shuffles(spark)
         met = together([(0, merged, "counts"), (1, chosen, "classes")], fields[:5])
         labelled = materialize(met.mapInArrow(_label(model), LABELLED_SCHEMA), "labelled", outlives=True)
         counts = np.zeros((classes, classes))
