@@ -1,13 +1,16 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 
 import corpus_pipeline
-from graphloom.llm import brown_lm, queries
+from graphloom.llm import brown_lm, common, queries
 
 
 def tokens(text):
@@ -54,6 +57,50 @@ def test_scores(make_docs, monkeypatch):
     assert all(x["score"] < 0 for x in out)
 
 
+def test_scores_by_plain_model(make_docs, monkeypatch):
+    """Given the words' classes: bigram counts, chances and the sum over each text, token by token."""
+    kept, models = {}, []
+    real, label = brown_lm.materialize, brown_lm._label
+
+    def keep(df, name, **options):
+        out = real(df, name, **options)
+        if name in ("word-batches", "word-classes"):
+            kept[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(brown_lm, "materialize", keep)
+    monkeypatch.setattr(brown_lm, "_label", lambda model: (models.append(model), label(model))[1])
+    monkeypatch.setattr(brown_lm, "BATCH_BYTES", 4000)
+    rows = language_rows() + [(5000, None), (5001, ""), (5003, "the1 the1 never-seen")]
+    out = {x["doc_id"]: x for x in brown_lm.score_texts(make_docs(rows), units=30, classes=9).collect()}
+    model, cls = models[0], {}
+    for b in kept["word-batches"]:
+        h = np.frombuffer(b["h"], "<u8")
+        parts = sorted((x["range"], x["classes"]) for x in kept["word-classes"] if x["batch"] == b["batch"])
+        found = np.concatenate([np.frombuffer(zstandard.decompress(c), "<u2") for _, c in parts]).tolist() if parts else []
+        for k, c in zip(h.tolist(), found):
+            assert cls.setdefault(k, int(c) % brown_lm.SETTLED) == int(c) % brown_lm.SETTLED  # a word has one class
+    of = lambda w: model.cls[brown_lm.END] if w is None else cls[xxhash.xxh64_intdigest(w)]
+    count, pairs = Counter(), np.zeros((9, 9))
+    for doc, text in rows:
+        if not held(doc):
+            t = tokens(text)
+            count.update(t)
+            for a, b in zip([None, *t], t):
+                pairs[of(a), of(b)] += 1
+    in_class, words = np.zeros(9), np.zeros(9)
+    for w, n in count.items():
+        in_class[of(w)] += n
+        words[of(w)] += 1
+    alone = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.9)
+    for doc, text in rows:
+        t, want = tokens(text), 0.0
+        for a, b in zip([None, *t], t):
+            x, y = of(a), of(b)
+            want += math.log10((pairs[x, y] + 20 * alone[y]) / (pairs[x].sum() + 20)) + math.log10((count[b] + 0.1) / (in_class[y] + 0.1 * (words[y] + 1)))
+        assert out[doc]["score"] == pytest.approx(want, rel=1e-9), doc
+
+
 def test_scores_of_odd_rows(odd):
     df, rows = odd
     check_base(brown_lm.score_texts(df).collect(), rows)
@@ -110,7 +157,13 @@ def test_pipeline(odd, spark, tmp_path):
     for x in out:
         lengths[x["sequence_id"]] += x["length"]
     assert all(n <= 2048 for n in lengths.values())
+    def tables():
+        folder = f"{common.shared_dir(spark)}/graphloom"
+        return {t for t in os.listdir(folder) if "packed" not in t}
+
+    there = tables()
     again = corpus_pipeline.run(spark, str(tmp_path))
+    assert tables() == there  # all but the result is deleted
     assert {x["doc_id"] for x in again.collect()} == {x["doc_id"] for x in docs.select("doc_id").collect()}
     empty = str(tmp_path / "empty")
     df.limit(0).write.parquet(f"{empty}/documents.parquet")

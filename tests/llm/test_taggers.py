@@ -76,6 +76,43 @@ def test_code_switched_words(make_docs):
     assert n.tolist() == [28] and np.mean([model.languages[k] == w for k, w in zip(post.argmax(1), langs)]) > 0.95
 
 
+def test_predictions_by_plain_forward_backward(make_docs):
+    """Word by word in double precision: features of each word, all paths by forward-backward, the mean posterior."""
+    rows = corpus(120) + [(900, "ab cd 12 uv!", "xx", "s"), (901, None), (902, "1 2 3"), (903, " ".join(["abc", "xyz"] * 3000))]
+    model = language.fit(make_docs(corpus()))
+    for x in language.predict(make_docs(rows), model).collect():
+        text = next(r[1] for r in rows if r[0] == x["doc_id"])
+        words = language.words_of(text or "")
+        if not words:
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        emit = np.array([model.crf.weights[language.word_features([w]).indices].sum(0) for w in words])
+        post = np.zeros_like(emit)
+        alpha = [model.crf.start + emit[0]]
+        for e in emit[1:]:
+            alpha.append(np.logaddexp.reduce(alpha[-1][:, None] + model.crf.trans, axis=0) + e)
+        beta = np.zeros(emit.shape[1])
+        for i in range(len(words) - 1, -1, -1):
+            post[i] = alpha[i] + beta
+            beta = np.logaddexp.reduce(model.crf.trans + (emit[i] + beta)[None, :], axis=1)
+        post = np.exp(post - np.logaddexp.reduce(post, axis=1, keepdims=True))
+        mean = post.mean(0)
+        assert x["lang_pred"] == model.languages[int(mean.argmax())] and x["score"] == pytest.approx(mean.max(), abs=2e-4)
+
+
+def test_every_language_is_learned_and_texts_are_cut_for_the_driver(make_docs, monkeypatch):
+    monkeypatch.setattr(language, "STRETCH", 60)
+    monkeypatch.setattr(language, "RUNS_PER_LANGUAGE", 4)
+    r = random.Random(1)
+    langs = {f"l{k:03}": "".join(chr(0x4E00 + 40 * k + j) for j in range(8)) for k in range(210)}
+    rows = [(i, " ".join("".join(r.choices(chars, k=3)) for _ in range(30)), lang, "s") for i, (lang, chars) in enumerate(list(langs.items()) * 2)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda f, sequences, n, dim, **options: (seen.append(len(sequences)), language.ChainCrf(np.zeros((dim, n)), np.zeros((n, n)), np.zeros(n)))[1])
+    model = language.fit(make_docs(rows), per_language=2, holdout=None)
+    assert model.languages == sorted(langs) and seen == [840]  # more than 200, and as many runs for each
+    assert not any(x["held_out"] for x in language.predict(make_docs(rows[:3]), model).collect())
+
+
 def test_batches_do_not_matter(make_docs):
     rows = corpus(60)
     model = language.fit(make_docs(rows))
