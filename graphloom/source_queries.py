@@ -13,6 +13,7 @@ from .plans.derive import oracle
 from .plans.graph import CodeGraph
 from .plans.scratch import cut, scratch_path
 from .sources.indexer import Indexer, parse_files, parse_source_udtf
+from .sources.scan import scan
 from .sources.store import GraphStore
 from .streaming.changes import last_events, watch
 
@@ -147,11 +148,31 @@ def compacted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.graph().definitions.select("path", "name", "kind").distinct()
 
 
+def _local_folder(spark: SparkSession, name: str) -> Path:
+    """A folder in the shared one, by its path on this machine: walks and saves are the driver's."""
+    return Path(scratch_path(spark, name).removeprefix("file:"))
+
+
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk finds of a tree with hidden, ignored and excluded files, some of which come back."""
+    g = CodeGraph.from_testdata(spark, sf_dir)
+    root = _local_folder(spark, "walked")
+    try:
+        for r in g.files.select("file_id", "path").toLocalIterator():
+            for path in (r["path"], f"node_modules/n{r['file_id']}.ts", f"src/gen/g{r['file_id']}.py", f".hidden/h{r['file_id']}.py", f"kept/skip{r['file_id']}.js", f"notes/n{r['file_id']}.txt"):
+                (root / path).parent.mkdir(parents=True, exist_ok=True)
+                (root / path).write_text("x" * (r["file_id"] % 50), "utf-8")
+        (root / ".gitignore").write_text("# made files\ngen/\n*.go\n!m1*.go\n")
+        return cut(scan(spark, root, ignore=["kept/skip*"]).select("path", "lang", "size"), "scanned")
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
 def stream_follows_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, when files are saved and deleted in a folder that the change stream follows."""
     made = cut(texts(CodeGraph.from_testdata(spark, sf_dir), *_HEADS), "texts")
-    base = scratch_path(spark, "followed").removeprefix("file:")
-    root = Path(base) / "tree"
+    base = _local_folder(spark, "followed")
+    root = base / "tree"
 
     def save(rows: DataFrame) -> None:
         for r in rows.select("path", "text").toLocalIterator():
@@ -177,7 +198,7 @@ def stream_follows_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (parse_roundtrip_symbols, parse_roundtrip_refs, parse_braces_symbols, parse_braces_refs, parse_lateral_counts, last_event_per_file, stream_upsert_equals_batch,
-          index_runs, hash_gate, prune_deleted, indexed_symbols, compacted_symbols, stream_follows_tree)
+          index_runs, hash_gate, prune_deleted, indexed_symbols, compacted_symbols, scanned_files, stream_follows_tree)
     return {f.__name__: f for f in fs}
 
 
@@ -203,6 +224,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "hash_gate": oracle(["cg_symbols", "cg_files"], "SELECT path FROM sources WHERE file_id % 3 <> 1 AND file_id % 4 = 0", _LATER),
         "prune_deleted": oracle(["cg_symbols", "cg_files"], "SELECT path FROM sources WHERE file_id % 3 <> 1", _LATER),
+        "scanned_files": oracle(
+            ["cg_files"], "SELECT path, lang, CAST(file_id % 50 AS BIGINT) AS size FROM cg_files WHERE path NOT LIKE '%.go' OR regexp_matches(path, '/m1[^/]*[.]go$')"
+        ),
         "indexed_symbols": stored,
         "compacted_symbols": stored,
         "stream_follows_tree": stored,
