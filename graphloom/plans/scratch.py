@@ -29,7 +29,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.cancelDeleteOnExit(p)
+    fs.delete(p, True)
 
 
 def cut(df: DataFrame, name: str, owner: list[str] | None = None) -> DataFrame:
