@@ -36,6 +36,11 @@ def _file_system(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def _delete(fs, folder) -> None:
+    fs.cancelDeleteOnExit(folder)
+    fs.delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write the rows to the shared folder and read them again.
 
@@ -62,8 +67,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _frames.pop():
-            fs, folder = _file_system(spark, path)
-            fs.delete(folder, True)
+            _delete(*_file_system(spark, path))
 
 
 def task_count(df: DataFrame, each: int = 1 << 26) -> int:
@@ -77,7 +81,7 @@ def drop_scratch(df: DataFrame) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     if files := df.inputFiles():
         fs, file = _file_system(df.sparkSession, files[0])
-        fs.delete(file.getParent(), True)
+        _delete(fs, file.getParent())
 
 
 def free_shuffles(spark: SparkSession) -> None:
