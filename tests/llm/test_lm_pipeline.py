@@ -8,9 +8,15 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import brown_lm, common, queries
+from graphloom.llm import brown_lm, common, language, queries
+from graphloom.llm.tokens import default_tokenizer
+
+from test_dedup_quality import plain_line_dedup
+from test_near_copies import plain_kept
 
 
 def tokens(text):
@@ -170,6 +176,61 @@ def test_pipeline(odd, spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_by_plain_versions(make_docs, spark, tmp_path):
+    """Each stage of run() over what the stage before kept, against its plain version."""
+    r = random.Random(11)
+    line = lambda chars, k: " ".join("".join(r.choices(chars, k=r.randrange(3, 8))) for _ in range(k))
+    alphabets = {"xx": "abcdefgh", "yy": "uvwxyzst"}
+    passage = {k: "\n".join(line(c, 15) for _ in range(5)) for k, c in alphabets.items()}
+    rows = []
+    for i in range(160):
+        lang = r.choice(["xx", "yy"])
+        lines = [line(alphabets[lang], r.randrange(4, 20)) for _ in range(r.randrange(1, 6))]
+        if r.random() < 0.3:
+            lines.insert(r.randrange(len(lines) + 1), passage[lang])
+        rows.append((i, "\n".join(lines), lang, f"s{i % 3}"))
+    for i in range(160, 190):  # near copies: a word is another
+        doc = r.choice(rows[:160])
+        words = doc[1].split(" ")
+        words[r.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words), doc[2], "s1"))
+    rows += [(300, "12 34 56", "xx", "s0"), (301, None, "xx", "s0"), (302, "", None, None)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    out = corpus_pipeline.language_id(spark, docs, "")
+    model = language.fit(docs)
+    found = model.tagger().predict([x[1] for x in rows])
+    kept = [x for x, (lang, score) in zip(rows, found) if lang != "und" and score >= 0.4]
+    assert sorted(x["doc_id"] for x in out.collect()) == [x[0] for x in kept] and len(kept) >= 180
+
+    out = corpus_pipeline.dedup_lines(spark, corpus_pipeline.materialize(out, "a"), "")
+    want = plain_line_dedup([x[:2] for x in kept], 50, 25)
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in out.collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()} and sum(want[x[0]] != x[1] for x in kept) > 20
+
+    out = corpus_pipeline.near_dedup(spark, corpus_pipeline.materialize(out, "b"), "")
+    left = plain_kept(sorted(want.items()))
+    assert {x["doc_id"] for x in out.collect()} == left and len(left) < len(want)
+
+    out = corpus_pipeline.materialize(out, "c")
+    mixed = corpus_pipeline.materialize(corpus_pipeline.mix_sources(spark, out, ""), "d")
+    copies = Counter(x["doc_id"] for x in mixed.collect())
+    sizes = {k: len((want[k] or "").split()) for k in left}
+    for source in ("s0", "s1", "s2"):
+        own = [x[0] for x in kept if x[3] == source and x[0] in left]
+        target = corpus_pipeline.mixing.mix(out).where(F.col("source") == source).first()["target"]
+        assert abs(sum(copies[k] * sizes[k] for k in own) - target) <= max(sizes[k] for k in own) / 2 + 1
+    assert max(copies.values()) <= 3 and all(copies[k] == 1 for k in left if not sizes[k])
+
+    pieces = corpus_pipeline.pack(spark, mixed, "").collect()
+    encode = Tokenizer.from_file(default_tokenizer()).encode
+    tokens_of = {k: len(encode(want[k] or "", add_special_tokens=False).ids) + 1 for k in copies}
+    assert Counter({k: sum(x["length"] for x in pieces if x["doc_id"] == k) for k in copies}) == Counter({k: n * tokens_of[k] for k, n in copies.items()})
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((x["doc_id"], x["doc_tokens"]) for x in whole if x["start"] == 0) == Counter((x["doc_id"], x["doc_tokens"]) for x in pieces if x["start"] == 0)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
