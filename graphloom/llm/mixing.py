@@ -19,8 +19,8 @@ from .common import WORD, materialize, running, temporary_tables, text_or_empty
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 NEWTON_STEPS = 50
-#: Relative distance of each source's tokens from its target, and of the moments from theirs, that ends the steps.
-CLOSE = 1e-7
+#: Relative distance of each source's tokens from its target, and of the moments from theirs, that ends the steps; so does one of TOKENS.
+CLOSE, TOKENS = 1e-7, 0.01
 #: The price of the moments' multipliers: targets of sources are met, moments as far as that leaves it possible.
 RIDGE = 0.05
 #: Deviations from the mean beyond which lengths count alike.
@@ -103,14 +103,14 @@ def tilted_rates(groups: DataFrame, targets: DataFrame, most: float = MOST, step
         per = lambda x: F.when(F.col("h") > 0, x / F.col("h")).otherwise(0.0)
         h1, h2, off = F.col("h1"), F.col("h2"), F.col("off")
         t = by_source.agg(
-            F.max(F.when(~F.col("fixed"), F.abs("off") / F.col("target"))).alias("worst"), F.sum("target").alias("all"),
+            F.max(F.when(~F.col("fixed"), F.greatest(F.lit(0.0), F.abs("off") - TOKENS) / F.col("target"))).alias("worst"), F.sum("target").alias("all"),
             *(_total(x).alias(k) for k, x in {"g1": F.col("g1"), "g2": F.col("g2"), "h11": F.col("h11"), "h12": F.col("h12"), "h22": F.col("h22"), "s11": per(h1 * h1), "s12": per(h1 * h2), "s22": per(h2 * h2), "r1": per(h1 * off), "r2": per(h2 * off)}.items()),
         ).first()
         if t["worst"] is None:
             break
         ridge = RIDGE * t["all"]
         g1, g2 = t["g1"] + ridge * m1, t["g2"] + ridge * m2
-        if t["worst"] < CLOSE and max(abs(g1), abs(g2)) < CLOSE * t["all"]:
+        if t["worst"] < CLOSE and max(abs(g1), abs(g2)) < max(CLOSE * t["all"], 10 * TOKENS):
             break
         a11, a12, a22 = t["h11"] - t["s11"] + ridge, t["h12"] - t["s12"], t["h22"] - t["s22"] + ridge
         b1, b2, det = t["r1"] - g1, t["r2"] - g2, a11 * a22 - a12 * a12
