@@ -90,19 +90,25 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row: a row may be megabytes, and only one is copied at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def _to_ranges(bits: int):
     """Cut the arrays of a batch into ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for row in b.to_pylist():
-                h, c, pool = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4"), np.frombuffer(row["pool"], "<u2")
-                at = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
-                at = np.r_[at, len(h)]
-                out = [(r, row["batch"], h[x:y].tobytes(), press.compress(c[x:y].tobytes()), pool[x:y].tobytes()) for r, (x, y) in enumerate(zip(at, at[1:])) if y > x]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["range", "batch", "h", "c", "pool"])
+        for row in _each(batches):
+            h, c, pool = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["c"], "<u4"), np.frombuffer(row["pool"], "<u2")
+            at = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
+            at = np.r_[at, len(h)]
+            out = [(r, row["batch"], h[x:y].tobytes(), press.compress(c[x:y].tobytes()), pool[x:y].tobytes()) for r, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["range", "batch", "h", "c", "pool"])
 
     return run
 
@@ -203,14 +209,13 @@ def _bigrams(vocabulary: Vocabulary):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(u * u, dtype=np.int64)
-        for b in batches:
-            for row in b.to_pylist():
-                held = np.frombuffer(row["held"], dtype=bool)
-                _, unit, starts = _sequence(row, vocabulary.unit_of(np.frombuffer(row["h"], "<u8"), np.frombuffer(row["pool"], "<u2")))
-                before = np.r_[END, unit[:-1]]  # a text follows the end of another
-                own = np.repeat(~held, np.diff(np.r_[starts, len(unit)]))
-                cell, n = np.unique(before[own] * u + unit[own], return_counts=True)
-                total[cell] += n
+        for row in _each(batches):
+            held = np.frombuffer(row["held"], dtype=bool)
+            _, unit, starts = _sequence(row, vocabulary.unit_of(np.frombuffer(row["h"], "<u8"), np.frombuffer(row["pool"], "<u2")))
+            before = np.r_[END, unit[:-1]]  # a text follows the end of another
+            own = np.repeat(~held, np.diff(np.r_[starts, len(unit)]))
+            cell, n = np.unique(before[own] * u + unit[own], return_counts=True)
+            total[cell] += n
         cell = np.flatnonzero(total)
         if len(cell):
             first, at = np.unique(cell // u, return_index=True)
@@ -323,16 +328,26 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndar
     """Rows sorted by batch, kind and range -> each batch with the corpus counts and the classes of its words, where there are rows of them."""
     unpack = zstandard.ZstdDecompressor().decompress
     batch, counts, classes = None, [], []
+    for row in _each(batches):
+        if row["batch"] != batch:
+            batch, counts, classes = row["batch"], [], []
+        if row["kind"] == 0:
+            counts.append(np.frombuffer(unpack(row["found"]), "<i8"))
+        elif row["kind"] == 1:
+            classes.append(np.frombuffer(unpack(row["found"]), "<u2"))
+        else:
+            yield row, np.concatenate(counts) if counts else None, np.concatenate(classes).astype(np.int64) if classes else None
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of arrays of equal length."""
+    total = None
     for b in batches:
-        for row in b.to_pylist():
-            if row["batch"] != batch:
-                batch, counts, classes = row["batch"], [], []
-            if row["kind"] == 0:
-                counts.append(np.frombuffer(unpack(row["found"]), "<i8"))
-            elif row["kind"] == 1:
-                classes.append(np.frombuffer(unpack(row["found"]), "<u2"))
-            else:
-                yield row, np.concatenate(counts) if counts else None, np.concatenate(classes).astype(np.int64) if classes else None
+        for x in b.column(0):
+            own = x.values.to_numpy()
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["n"])
 
 
 def _neighbours(model: ClassModel, bits: int, first: bool):
@@ -348,7 +363,7 @@ def _neighbours(model: ClassModel, bits: int, first: bool):
         press = zstandard.ZstdCompressor(level=1).compress
         pairs = np.zeros(k * k, dtype=np.int64)
         names = [c.split()[0] for c in NEIGHBOURS_SCHEMA.split(", ")]
-        for row, _, known in ((r, None, None) for b in batches for r in b.to_pylist()) if first else _gathered(batches):
+        for row, _, known in ((r, None, None) for r in _each(batches)) if first else _gathered(batches):
             h = np.frombuffer(row["h"], "<u8")
             if first:
                 units = v.unit_of(h, np.frombuffer(row["pool"], "<u2"))
@@ -487,11 +502,10 @@ def _class_sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _class_bigrams(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, dtype=np.int64)
-        for b in batches:
-            for row in b.to_pylist():
-                before, c, n = _class_sequence(row)
-                own = np.repeat(~np.frombuffer(row["held"], dtype=bool), n)
-                total += np.bincount(before[own] * k + c[own], minlength=k * k)
+        for row in _each(batches):
+            before, c, n = _class_sequence(row)
+            own = np.repeat(~np.frombuffer(row["held"], dtype=bool), n)
+            total += np.bincount(before[own] * k + c[own], minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["n"])
 
     return run
@@ -501,15 +515,14 @@ def _scorer(model: ClassModel):
     tokens = model.vocabulary.tokens + model.vocabulary.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                before, c, n = _class_sequence(row)
-                ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], dtype=bool)
-                score = np.frombuffer(row["emission"], "<f8") + np.add.reduceat(model.log_trans[before, c], np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=nulls), pa.array(np.frombuffer(row["held"], dtype=bool)), pa.array(n), pa.array(np.frombuffer(row["known"], "<i8")), pa.array(np.full(len(n), tokens, dtype=np.int64)), pa.array(np.frombuffer(row["base"], "<f8")), pa.array(score)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _each(batches):
+            before, c, n = _class_sequence(row)
+            ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], dtype=bool)
+            score = np.frombuffer(row["emission"], "<f8") + np.add.reduceat(model.log_trans[before, c], np.cumsum(n) - n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=nulls), pa.array(np.frombuffer(row["held"], dtype=bool)), pa.array(n), pa.array(np.frombuffer(row["known"], "<i8")), pa.array(np.full(len(n), tokens, dtype=np.int64)), pa.array(np.frombuffer(row["base"], "<f8")), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
@@ -582,8 +595,8 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
             source = batched if chosen is None else together([(1, chosen, "classes")], fields[2:])
             beside = materialize(source.mapInArrow(_neighbours(model, bits + 1, chosen is None), NEIGHBOURS_SCHEMA), "neighbours")
             n = np.zeros(classes * classes)
-            for x in beside.where("range < 0").select(F.posexplode("pairs").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
-                n[x["cell"]] = x["n"]
+            for x in beside.where("range < 0").select("pairs").coalesce(tasks).mapInArrow(_summed, "n array<long>").collect():
+                n += np.array(x["n"])
             if chosen is not None:
                 drop_scratch(chosen)
             chosen = materialize(by_range(beside.where("range >= 0").drop("pairs"), bits + 1).mapInArrow(_choose(n.reshape(classes, classes)), CHOSEN_SCHEMA), "word-classes")
