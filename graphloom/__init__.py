@@ -22,7 +22,7 @@ _EXPORTS = {
     "functions.text": ("is_test_file",),
     "tools": ("TOOLS", "call_tool", "register_sql"),
     "server": ("Server",),
-    "install": ("install_into", "server_entry", "config_path", "toml_snippet"),
+    "install": ("merged", "toml_snippet"),
 }
 _HOME = {name: module for module, names in _EXPORTS.items() for name in names}
 __all__ = ["__version__", *_HOME]
