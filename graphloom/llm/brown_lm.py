@@ -37,7 +37,7 @@ ALPHA = 0.1
 #: Rounds in which words choose their classes, at most, and the share of training tokens that move in a round worth another.
 ROUNDS = 2
 MOVING = 0.005
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 #: Marks the class of a word that is a unit of its own.
 SETTLED = 1 << 15
 #: Unit 0 is the end of a text; frequent words follow, then pools.
