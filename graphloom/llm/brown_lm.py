@@ -37,7 +37,7 @@ ALPHA = 0.1
 #: Rounds in which words choose their classes, at most, and the share of training tokens that move in a round worth another.
 ROUNDS = 2
 MOVING = 0.005
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Marks the class of a word that is a unit of its own.
 SETTLED = 1 << 15
 #: Unit 0 is the end of a text; frequent words follow, then pools.
@@ -594,8 +594,6 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
             free_shuffles(spark)
             source = batched if chosen is None else together([(1, chosen, "classes")], fields[2:])
             beside = materialize(source.mapInArrow(_neighbours(model, bits + 1, chosen is None), NEIGHBOURS_SCHEMA), "neighbours")
-            del source
-            free_shuffles(spark)
             n = np.zeros(classes * classes)
             for x in beside.where("range < 0").select("pairs").coalesce(tasks).mapInArrow(_summed, "n array<long>").collect():
                 n += np.array(x["n"])
@@ -603,7 +601,7 @@ def score_texts(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, hol
                 drop_scratch(chosen)
             chosen = materialize(by_range(beside.where("range >= 0").drop("pairs"), bits + 1).mapInArrow(_choose(n.reshape(classes, classes)), CHOSEN_SCHEMA), "word-classes")
             drop_scratch(beside)
-            del beside
+            del source, beside
             moved = chosen.agg(F.sum("moved")).first()[0] or 0
             if moved <= MOVING * max(1, vocabulary.tokens):
                 break
