@@ -17,6 +17,9 @@ from ..plans.schema import AFFECTED_DEPTH, IMPACT_DEPTH, IMPACT_LIMIT, LIMIT, NE
 from ..plans.scratch import cut
 from .lookup import SYMBOL_COLUMNS
 
+#: Up to so many roots are walked from one by one; of more, affected_callers() looks at the nearest first.
+FEW = 32
+
 
 def roots_of(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "root string")
@@ -24,7 +27,12 @@ def roots_of(spark: SparkSession, names: list[str]) -> DataFrame:
 
 def bfs(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(root) and edges (src, dst), walked from src to dst -> (root, name, distance), the root itself at 0; least distances."""
-    seen = cut(roots.select("root", F.col("root").alias("name"), F.lit(0).alias("distance")).distinct(), "seen")
+    return _walk(roots.select("root", F.col("root").alias("name")), edges, depth)
+
+
+def _walk(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """The same from the names of (root, name) on: those of one root are at 0 together."""
+    seen = cut(start.select("root", "name", F.lit(0).alias("distance")).distinct(), "seen")
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier.name == edges.src).select("root", F.col("dst").alias("name")).distinct()
@@ -90,6 +98,42 @@ def unresolved_names(g: CodeGraph, nodes: DataFrame) -> DataFrame:
     return g.calls.join(names, "from_symbol", "left_semi").select("name").distinct().join(g.symbols.select("name").distinct(), "name", "left_anti")
 
 
+def affected_callers(g: CodeGraph, own: DataFrame, depth: int) -> DataFrame:
+    """(file_id): the files of ``impacted`` for the roots in own (root), without walking from each root by itself.
+
+    A call from a to b counts if some root is k < depth hops from b and k + 1,
+    not fewer, from a. With the distance to the nearest of all roots that is
+    plain where a is further than b, or b is a root. Only for calls of files
+    that have no such call, roots are looked for one by one, from the calls on
+    towards the roots, level by level, along names that can still lead to one.
+    """
+    near = cut(_walk(own.select(F.lit(0).alias("root"), F.col("root").alias("name")), _reversed(g.edges), depth).select("name", "distance"), "nearest")
+    defined = g.symbols.select(F.col("name").alias("src"), "file_id").distinct()
+    sites = g.edge_files.where("src <> dst").join(defined, ["src", "file_id"], "left_semi")
+    sites = sites.join(near.where(F.col("distance") < depth).select(F.col("name").alias("dst"), F.col("distance").alias("at")), "dst")
+    sites = sites.join(near.select(F.col("name").alias("src"), F.col("distance").alias("up")), "src")
+    plain = (F.col("up") > F.col("at")) | (F.col("at") == 0)
+    found = cut(sites.where(plain).select("file_id").distinct(), "callers")
+    open_ = cut(sites.where(~plain).select("src", "dst", "file_id").join(found, "file_id", "left_anti"), "open-calls")
+    ways = seen = frontier = None
+    for k in range(1, depth):
+        if open_.isEmpty():
+            break
+        ends = open_.select(F.col("src").alias("root")).union(open_.select(F.col("dst").alias("root"))).distinct()
+        if frontier is None:
+            ways = cut(g.edges.join(near.select(F.col("name").alias("dst"), F.col("distance").alias("left")), "dst").where(F.col("left") < depth - 1), "ways")
+            seen = frontier = cut(ends.select("root", F.col("root").alias("name"), F.lit(False).alias("is_root")), "ends")
+        step = frontier.join(ends, "root", "left_semi").join(ways, F.col("name") == F.col("src")).where(F.col("left") < depth - k)
+        step = step.select("root", F.col("dst").alias("name"), (F.col("left") == 0).alias("is_root")).distinct()
+        frontier = cut(step.join(seen, ["root", "name"], "left_anti"), "level")
+        seen = seen.union(frontier)
+        ahead = open_.select("src", "dst").distinct().join(frontier.where("is_root").select(F.col("root").alias("dst"), "name"), "dst")
+        tight = ahead.join(seen.select(F.col("root").alias("src"), "name"), ["src", "name"], "left_anti").select("src", "dst").distinct()
+        more = cut(open_.join(tight, ["src", "dst"], "left_semi").select("file_id").distinct(), "callers")
+        found, open_ = found.union(more), cut(open_.join(more, "file_id", "left_anti"), "open-calls")
+    return found
+
+
 def import_edges(g: CodeGraph) -> DataFrame:
     """(basename, importer path) for each file that imports something of that basename."""
     spec = g.located_refs.where(F.col("kind") == "import").select("path", F.explode(import_basenames("name")).alias("basename"))
@@ -110,7 +154,11 @@ def affected(g: CodeGraph, changed: DataFrame, depth: int = AFFECTED_DEPTH) -> D
     """
     changed = cut(changed.select("path").distinct(), "changed")
     own = g.definitions.join(changed, "path", "left_semi").select(F.col("name").alias("root")).distinct()
-    callers = impacted(g, own, depth).select("path")
+    own = cut(own, "own")
+    if own.limit(FEW + 1).count() <= FEW:
+        callers = impacted(g, own, depth).select("path")
+    else:
+        callers = g.files.join(affected_callers(g, own, depth), "file_id", "left_semi").select("path")
     seen = cut(changed.union(callers).distinct(), "affected")
     imports = cut(import_edges(g).withColumnRenamed("path", "importer"), "imports")
     frontier = changed

@@ -1,5 +1,7 @@
 """Small hand-made graphs: each shows one rule of the query operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from graphloom.functions.text import clipped, contains_literal, import_basenames
 from graphloom.operators import context as ctx
 from graphloom.operators import evaluate, lookup, render, traverse, trigram
 from graphloom.plans.graph import CodeGraph
+from graphloom.plans.scratch import cut
 from graphloom.sources.store import GraphStore
 
 
@@ -206,3 +209,30 @@ def test_evaluation(spark):
 def test_truth_files(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"name": "f", "callerFiles": ["a", "b"]}, {"name": "g", "callerFiles": []}]')
     assert sorted(tuple(r) for r in evaluate.read_truth(spark, str(tmp_path / "t.json")).collect()) == [("f", "a"), ("f", "b")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_affected_callers_of_many_roots(spark, seed):
+    """The files are those that a walk from each root by itself finds, also where names are defined and called in several files."""
+    r = random.Random(seed)
+    names_ = [f"n{i}" for i in range(30)] + ["init", "run"]
+    where = [(f"f{r.randrange(24)}.ts", n, "function") for n in names_ for _ in range(r.choice([1, 1, 2, 3]) if n[0] == "n" else 8)]
+    where = list(dict.fromkeys(where))
+    calls = list(dict.fromkeys((f, n, r.choice(names_[:30]), "call") for f, n, _ in where for _ in range(r.choice([0, 1, 1, 2]))))
+    g = graph(spark, where, calls)
+    own = traverse.roots_of(spark, [n for f, n, _ in where if f in ("f0.ts", "f1.ts", "f2.ts")])
+    for depth in (1, 2, 3, 4):
+        want = {x["path"] for x in traverse.impacted(g, own, depth).select("path").collect()}
+        got = g.files.join(traverse.affected_callers(g, own, depth), "file_id", "left_semi")
+        assert {x["path"] for x in got.collect()} == want and want
+
+
+def test_affected_does_not_walk_from_each_of_many_roots(spark, monkeypatch):
+    changed_files, n = [f"src/c{i}.ts" for i in range(4)], 48
+    symbols = [(changed_files[i % 4], f"r{i}", "function") for i in range(n)] + [("src/mid.ts", "mid", "function"), ("test/top.ts", "top", "function")]
+    calls = [("src/mid.ts", "mid", f"r{i}", "call") for i in range(n)] + [("test/top.ts", "top", "mid", "call")]
+    tables = []
+    monkeypatch.setattr(traverse, "cut", lambda df, name, owner=None: tables.append(out := cut(df, name, owner)) or out)
+    found = traverse.affected(graph(spark, symbols, calls), changed(spark, *changed_files))
+    assert [x["path"] for x in found.collect()] == sorted([*changed_files, "src/mid.ts", "test/top.ts"])
+    assert max(t.count() for t in tables) <= n + 2  # a row a name, not one for each root that it leads to
