@@ -169,22 +169,40 @@ def register_sql(g: CodeGraph) -> None:
         f"ranked AS (SELECT *, row_number() OVER (ORDER BY sites DESC, name, {place}) AS at FROM beside) "
         f"SELECT {sym}, sites, TRUE FROM seeds UNION ALL SELECT {sym}, sites, FALSE FROM ranked WHERE at <= context.most - (SELECT count(*) FROM seeds)"
     )
-    # roots of all changed files are walked together: (root, name) pairs by levels
-    pairs = ["a0 AS (SELECT DISTINCT name AS root, name, 0 AS d FROM cg_symbols WHERE array_contains(affected.changed, path))"]
-    files = ["i0 AS (SELECT DISTINCT explode(affected.changed) AS path)"]
-    for d in range(1, 4):
-        before = " UNION ALL ".join(f"SELECT root, name FROM a{k}" for k in range(d))
-        pairs.append(f"a{d} AS (SELECT DISTINCT n.root, n.name, {d} AS d FROM (SELECT p.root, e.src AS name FROM a{d - 1} p JOIN cg_edges e ON e.dst = p.name) n LEFT ANTI JOIN ({before}) b ON b.root = n.root AND b.name = n.name)")
-        seen = " UNION ALL ".join(["SELECT path FROM called", *(f"SELECT path FROM i{k}" for k in range(d))])
-        files.append(f"i{d} AS (SELECT DISTINCT n.path FROM (SELECT m.path FROM i{d - 1} p JOIN cg_imports m ON m.basename = split_part(substring_index(p.path, '/', -1), '.', 1) AND m.basename <> '') n LEFT ANTI JOIN ({seen}) b ON b.path = n.path)")
-    every = " UNION ALL ".join(f"SELECT root, name, d FROM a{k}" for k in range(4))
-    called = (
-        "called AS (SELECT DISTINCT s.path FROM walked a JOIN cg_edge_files e ON e.src = a.name JOIN walked b ON b.root = a.root AND b.name = e.dst AND b.d = a.d - 1 "
-        "JOIN cg_symbols s ON s.name = a.name AND s.file_id = e.file_id WHERE a.d BETWEEN 1 AND affected.hops)"
+    # as in traverse.affected_callers(); a step refers to the one before once, since Spark writes out each reference
+    def steps(name: str, first: str, keys: str, depth: int) -> str:
+        """name0 .. name<depth>: least distances of names, by keys, from those of first on."""
+        out = [f"{name}0 AS ({first})"]
+        for d in range(1, depth + 1):
+            mine, next_ = keys.replace("root", "p.root").replace("name", "p.name"), keys.replace("root", "p.root").replace("name", "e.src")
+            rows = f"SELECT stack(2, {mine}, p.d, {next_}, p.d + 1) AS ({keys}, d) FROM {name}{d - 1} p LEFT JOIN cg_edges e ON e.dst = p.name"
+            out.append(f"{name}{d} AS (SELECT {keys}, min(d) AS d FROM ({rows}) WHERE name IS NOT NULL GROUP BY {keys})")
+        return ", ".join(out)
+
+    own = "cg_symbols s LEFT SEMI JOIN given ON given.path = s.path WHERE s.name IS NOT NULL"
+    calls = (
+        "FROM cg_edge_files e LEFT SEMI JOIN cg_symbols s ON s.name = e.src AND s.file_id = e.file_id JOIN n3 b ON b.name = e.dst JOIN n3 a ON a.name = e.src "
+        "WHERE e.src <> e.dst AND b.d < affected.hops"
     )
-    spread = " UNION ".join(["SELECT path FROM called", *(f"SELECT path FROM i{k} WHERE {k} <= affected.hops" for k in range(4))])
+    ctes = [
+        "given AS (SELECT DISTINCT explode(affected.changed) AS path)",
+        steps("n", f"SELECT DISTINCT s.name, 0 AS d FROM {own}", "name", 3),
+        steps("r", f"SELECT DISTINCT s.name AS root, s.name, 0 AS d FROM {own}", "root, name", 2),
+        f"plain AS (SELECT DISTINCT e.file_id {calls} AND (a.d > b.d OR b.d = 0))",
+        f"left_open AS (SELECT o.* FROM (SELECT e.src, e.dst, e.file_id {calls} AND a.d <= b.d AND b.d > 0) o LEFT ANTI JOIN plain ON plain.file_id = o.file_id)",
+        "ahead AS (SELECT o.src, o.file_id, r.root, r.d FROM left_open o JOIN r2 r ON r.name = o.dst WHERE r.d < affected.hops)",
+        "tight AS (SELECT DISTINCT h.file_id FROM ahead h LEFT ANTI JOIN r2 r ON r.root = h.root AND r.name = h.src AND r.d <= h.d)",
+        "called AS (SELECT DISTINCT f.path FROM (SELECT file_id FROM plain UNION ALL SELECT file_id FROM tight) c JOIN cg_files f ON f.file_id = c.file_id)",
+        "i0 AS (SELECT path FROM given)",
+    ]
+    for d in range(1, 4):
+        imports = "(SELECT m.* FROM cg_imports m LEFT ANTI JOIN called c ON c.path = m.path WHERE m.basename <> '')"
+        importer = f"if(affected.hops >= {d}, m.path, NULL)"
+        rows = f"SELECT explode(array(p.path, {importer})) AS path FROM i{d - 1} p LEFT JOIN {imports} m ON m.basename = split_part(substring_index(p.path, '/', -1), '.', 1)"
+        ctes.append(f"i{d} AS (SELECT DISTINCT path FROM ({rows}) WHERE path IS NOT NULL)")
+    spread = "SELECT path FROM called UNION SELECT path FROM i3"
     is_test = " OR ".join(f"path RLIKE r'{p}'" for p in TEST_PATTERNS)
-    affected = f"WITH {', '.join(pairs)}, walked AS ({every}), {called}, {', '.join(files)} SELECT path, array_contains(affected.changed, path), {is_test} FROM ({spread})"
+    affected = f"WITH {', '.join(ctes)} SELECT path, array_contains(affected.changed, path), {is_test} FROM ({spread})"
     for signature, types, body in (
         (f"search_symbols(query STRING, of_kind STRING DEFAULT NULL, most INT DEFAULT {schema.LIMIT})", sym_types, first(found, match, "search_symbols.most")),
         (f"get_symbol(wanted STRING, most INT DEFAULT {schema.LIMIT})", sym_types, first("SELECT * FROM cg_symbols WHERE name = get_symbol.wanted", place, "get_symbol.most")),

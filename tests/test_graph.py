@@ -11,6 +11,7 @@ from graphloom.operators import evaluate, lookup, render, traverse, trigram
 from graphloom.plans.graph import CodeGraph
 from graphloom.plans.scratch import cut
 from graphloom.sources.store import GraphStore
+from graphloom.tools import register_sql
 
 
 def graph(spark, symbols, refs=(), files=None, **options):
@@ -236,3 +237,19 @@ def test_affected_does_not_walk_from_each_of_many_roots(spark, monkeypatch):
     found = traverse.affected(graph(spark, symbols, calls), changed(spark, *changed_files))
     assert [x["path"] for x in found.collect()] == sorted([*changed_files, "src/mid.ts", "test/top.ts"])
     assert max(t.count() for t in tables) <= n + 2  # a row a name, not one for each root that it leads to
+
+
+@pytest.mark.parametrize("also", [False, True])
+def test_affected_sql_function_keeps_no_pairs_of_three_hops(spark, also):
+    """A call between names equally far from the nearest root counts if another root is nearer by the callee alone."""
+    symbols = [("c.ts", "r1", "function"), ("c.ts", "r2", "function"), ("one.ts", "a", "function"), ("two.ts", "a", "function"), ("b.ts", "b", "function")]
+    calls = [("one.ts", "a", "r1", "call"), ("two.ts", "a", "b", "call"), ("b.ts", "b", "r2", "call")] + ([("one.ts", "a", "r2", "call")] if also else [])
+    g = graph(spark, symbols, calls)
+    want = {"c.ts", "one.ts", "b.ts"} | (set() if also else {"two.ts"})
+    register_sql(g)
+    found = spark.sql("SELECT path FROM affected(array('c.ts'), 2)")
+    assert {x["path"] for x in found.collect()} == want
+    assert {x["path"] for x in traverse.affected(g, changed(spark, "c.ts"), 2).collect()} == want
+    many = traverse.affected_callers(g, traverse.roots_of(spark, ["r1", "r2"]), 2)
+    assert {x["path"] for x in g.files.join(many, "file_id").collect()} == want - {"c.ts"}
+    assert "3 AS d" not in found._jdf.queryExecution().analyzed().toString()
