@@ -6,11 +6,11 @@ import numpy as np
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, one a bit; lane i of a row's 64-bit words is fingerprint i."""
+    """A row for each bit; lane i of a row's 64-bit words is fingerprint i. Fingerprints are words of 64 bits, or rows of several."""
     n = len(fps)
     words = -(-n // 64)
-    bits = np.zeros((words * 64, 8), dtype=np.uint8)
-    bits[:n] = fps.astype("<u8").view(np.uint8).reshape(n, 8)
+    bits = np.zeros((words * 64, fps.size * 8 // n if n else 8), dtype=np.uint8)
+    bits[:n] = np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(n, -1) if n else 0
     return np.packbits(np.unpackbits(bits, axis=1, bitorder="little").T.copy(), axis=1, bitorder="little").view("<u8")
 
 
@@ -59,14 +59,74 @@ def near_lanes(planes: np.ndarray, fp: int, radius: int, lanes: np.ndarray) -> n
     bits = np.zeros(words * 64, dtype=bool)
     bits[:n] = lanes
     live = np.packbits(bits, bitorder="little").view("<u8")
-    flip = np.array([~np.uint64(0) if fp >> p & 1 else np.uint64(0) for p in range(64)])[:, None]
+    flip = np.array([~np.uint64(0) if fp >> p & 1 else np.uint64(0) for p in range(len(planes))])[:, None]
+    half = len(planes) // 2
     at = np.flatnonzero(live)
-    counts = column_sums([planes[:32, at] ^ flip[:32]])
+    counts = column_sums([planes[:half, at] ^ flip[:half]])
     now = live[at] & at_most(counts, radius)
     keep = np.flatnonzero(now)
     at = at[keep]
-    rest = column_sums([planes[32:, at] ^ flip[32:]])
+    rest = column_sums([planes[half:, at] ^ flip[half:]])
     both = [np.stack([x[k] if k < len(x) else np.zeros(len(at), np.uint64) for x in ([c[keep] for c in counts], rest)]) for k in range(max(len(counts), len(rest)))]
     out = np.zeros(words, dtype="<u8")
     out[at] = now[keep] & at_most(column_sums(both), radius)
     return np.unpackbits(out.view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
+def pair_sums(x: np.ndarray) -> list[np.ndarray]:
+    """The same for a power of two of bitmaps, by adding halves to each other: fewer and longer steps."""
+    sums, n = [x], len(x)
+    while n > 1:
+        n //= 2
+        added, carry = [], None
+        for bit in sums:
+            a, b = bit[:n], bit[n:]
+            half, both = a ^ b, a & b
+            if carry is None:
+                added.append(half)
+                carry = both
+            else:
+                added.append(half ^ carry)
+                half &= carry
+                half |= both
+                carry = half
+        sums = [*added, carry]
+    return [bit[0] for bit in sums]
+
+
+def near_shifted(planes: np.ndarray, d: int, live: np.ndarray, radius: int, half: int) -> np.ndarray:
+    """Of the lanes i of a bitmap, those whose fingerprint and that of lane i + d differ in ``half`` or fewer of the first half of the bits, and in ``radius`` or fewer of all.
+
+    Words in which no lane is left after the first half are abandoned.
+    """
+    words, bits = divmod(d, 64)
+    first, end = len(planes) // 2, planes.shape[1]
+
+    def differing(some: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if len(at) == end - words:  # all that have a partner
+            low = some[:, words:] >> np.uint64(bits)
+            if bits:
+                low[:, :-1] |= some[:, words + 1 :] << np.uint64(64 - bits)
+            low ^= some[:, : end - words]
+            return low
+        low = some.take(at + words, 1) >> np.uint64(bits)
+        if bits:
+            low |= some.take(np.minimum(at + words + 1, end - 1), 1) << np.uint64(64 - bits)
+        low ^= some.take(at, 1)
+        return low
+
+    out = np.zeros_like(live)
+    at = np.flatnonzero(live[: end - words])
+    if len(at) * 2 > end - words:
+        at = np.arange(end - words)
+    if not len(at):
+        return out
+    counts = pair_sums(differing(planes[:first], at))
+    now = live[at] & at_most(counts, half)
+    keep = np.flatnonzero(now)
+    if not len(keep):
+        return out
+    rest = pair_sums(differing(planes[first:], at[keep]))
+    both = [np.stack([c[keep], x]) for c, x in zip(counts, rest)]
+    out[at[keep]] = now[keep] & at_most(column_sums(both), radius)
+    return out

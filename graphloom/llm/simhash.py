@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near_copies
 from .common import materialize, task_count, temporary_tables, text_or_empty
 from .components import connected_components
 from .planes import bit_planes
@@ -102,8 +101,11 @@ def _above(ones, twos, fours, radius: int):
     return out
 
 
-def link_sorted(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Rows sorted by key; for each row the position of the first row that its links within the key lead to."""
+def link_sorted(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, within=_within) -> np.ndarray:
+    """Rows sorted by key; for each row the position of the first row that its links within the key lead to.
+
+    ``within`` compares each lane with one further on; _within() knows 64 bits and radii under 8.
+    """
     n = len(keys)
     label = np.arange(n)
     if n < 2:
@@ -123,7 +125,7 @@ def link_sorted(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.n
     for d in range(1, int(left.max()) + 1):
         mask = np.zeros(words * 64, dtype=np.uint8)
         mask[:n] = left >= d
-        hit = _within(planes, d, np.packbits(mask, bitorder="little").view("<u8"), radius)
+        hit = within(planes, d, np.packbits(mask, bitorder="little").view("<u8"), radius)
         at = np.flatnonzero(hit)
         if not len(at):
             continue
@@ -224,6 +226,8 @@ def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = RADIUS
     without a word are copies of each other; further columns, whatever their
     names, are unchanged; no rows give no rows.
     """
+    from . import near_copies
+
     with temporary_tables(docs.sparkSession):
         if least is not None:
             keep, repeated = near_copies.groups(docs, shingle, radius, least)

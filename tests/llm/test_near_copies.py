@@ -94,3 +94,29 @@ def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __lg_id int, r string, t string")
     for kept in (simhash.keep_representatives(df, shingle=5, radius=28, least=0.8), simhash.keep_representatives(df)):
         assert kept.columns == df.columns and sorted(tuple(x) for x in kept.collect()) == rows[::2]
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_texts_meet_by_bits_of_their_fingerprints(spark, monkeypatch, most):
+    """Fingerprints alone, without a text or a set: those that differ in 16 % of their bits are joined, unlike ones are not."""
+    monkeypatch.setattr(near_copies, "MOST_OF_KEY", most)  # with 1, keys are split into pairs of chunks
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 64, (100, 8), dtype=np.uint64)
+    flips = np.packbits(r.random((100, 512)) < 0.16, axis=1, bitorder="little").view("<u8")
+    rows = [(i, *f) for i, f in enumerate(np.concatenate([base, base ^ flips]).view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{i} long" for i in range(8)))
+    assert {(min(e), max(e)) for e in near_copies.linked_nodes(nodes).collect()} == {(i, i + 100) for i in range(100)}
+
+
+@pytest.mark.parametrize("d", [1, 3, 63, 64, 65, 130, 640, 699])
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_shifted_lanes_by_counting(d, share):
+    r = np.random.default_rng(d)
+    fps = r.integers(0, 1 << 64, (700, 4), dtype=np.uint64)
+    fps[d:] = np.where(r.random((700 - d, 1)) < 0.3, fps[:-d] ^ np.packbits(r.random((700 - d, 256)) < 0.25, axis=1, bitorder="little").view("<u8"), fps[d:])
+    live = np.zeros(704, dtype=bool)
+    live[: 700 - d] = r.random(700 - d) < share
+    got = planes.near_shifted(planes.bit_planes(fps), d, np.packbits(live, bitorder="little").view("<u8"), 66, 34)
+    x = np.bitwise_count(fps[d:] ^ fps[:-d]).astype(int)
+    want = np.r_[(x.sum(1) <= 66) & (x[:, :2].sum(1) <= 34), np.zeros(d + 4, dtype=bool)] & live
+    assert np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool).tolist() == want.tolist()
