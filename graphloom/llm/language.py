@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, releasing
 from .crf import ChainCrf, Features, forward_backward, train
 
 #: The classifier is fitted on stretches of about this many documents of each language at most,
@@ -71,7 +72,7 @@ class LanguageModel:
 class Tagger:
     """Labels batches of texts; emissions of words are kept between batches."""
 
-    def __init__(self, model: LanguageModel, most: int = 300_000):
+    def __init__(self, model: LanguageModel, most: int = 150_000):
         self.model, self.most = model, most
         self.weights = model.crf.weights.astype(np.float32)
         self.trans, self.start = model.crf.trans.astype(np.float32), model.crf.start.astype(np.float32)
@@ -83,14 +84,18 @@ class Tagger:
 
     def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior probabilities of all words, and the number of words of each text."""
-        words = [words_of(t) if t else [] for t in texts]
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        flat = [x for w in words for x in w]
         if len(self.index) > self.most:
             self._forget()
-        fresh = list(dict.fromkeys(x for x in flat if x not in self.index))
+        index, fresh, ids = self.index, [], []
+        for t in texts:  # words become numbers text by text, so those of one text alone are held as strings
+            words = words_of(t) if t else []
+            for x in dict.fromkeys(words):
+                if x not in index:
+                    index[x] = len(index)
+                    fresh.append(x)
+            ids.append(np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)))
+        lengths = np.array([len(x) for x in ids], dtype=np.int64)
         if fresh:
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
             made = []
             for at in range(0, len(fresh), 20_000):
                 f = word_features(fresh[at : at + 20_000])
@@ -100,9 +105,9 @@ class Tagger:
                     per_byte = per_byte + self.weights[f.indices[c::k]]
                 made.append(np.add.reduceat(per_byte, f.indptr[:-1] // k, axis=0))
             self.emit = np.concatenate([self.emit, *made])
-        if not flat:
+        if not lengths.any():
             return np.zeros((0, len(self.model.languages)), np.float32), lengths
-        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        at = np.concatenate(ids)
         some = lengths[lengths > 0]
         return forward_backward(self.emit[at], some, self.trans, self.start), lengths
 
@@ -171,12 +176,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, holdout: tuple
     return LanguageModel(names, train(word_features(list(index)), sequences, len(names), DIM, epochs=3, seed=seed), holdout)
 
 
-def _predictor(model: LanguageModel, batch: int = 1000):
+def _predictor(model: LanguageModel):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model.tagger()
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                piece = b.slice(at, batch)
+            for piece in pieces(b, 0):
                 found = tagger.predict(piece.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*piece.schema.names[1:], "lang_pred", "score"]
@@ -201,13 +206,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _accepting(model: LanguageModel, least: float, batch: int = 1000):
+def _accepting(model: LanguageModel, least: float):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model.tagger()
         for b in batches:
             texts = b.schema.get_field_index("text")
-            for at in range(0, b.num_rows, batch):
-                piece = b.slice(at, batch)
+            for piece in pieces(b, texts):
                 found = tagger.predict(piece.column(texts).to_pylist())
                 keep = [x[0] != UNKNOWN and x[1] >= least for x in found]
                 yield piece.filter(pa.array(keep, pa.bool_()))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, releasing, text_or_empty
 from .tokens import TokenizerSpec, encoder
 
 #: Partitions whose open windows one task packs on.
@@ -160,7 +160,7 @@ def _round(items, capacity: int, level: int, last: bool) -> Iterator[pa.RecordBa
 
     for item in items:
         packer.add(*item)
-        if len(packer.closed) >= 4096:
+        if len(packer.closed) >= 512:
             done = packer.take()
             yield batch([(*r, None, None, None) for r in _rows(done, k)])
             k += len(done)
@@ -173,6 +173,7 @@ def _round(items, capacity: int, level: int, last: bool) -> Iterator[pa.RecordBa
 
 
 def _first_round(spec: TokenizerSpec, capacity: int, eos: int, last: bool):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(spec), np.array([eos], dtype=np.uint32)
 
@@ -188,6 +189,7 @@ def _first_round(spec: TokenizerSpec, capacity: int, eos: int, last: bool):
 
 
 def _next_round(capacity: int, level: int, last: bool):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
             for b in batches:
