@@ -107,7 +107,7 @@ def affected_callers(g: CodeGraph, own: DataFrame, depth: int) -> DataFrame:
     that have no such call, roots are looked for one by one, from the calls on
     towards the roots, level by level, along names that can still lead to one.
     """
-    near = cut(_walk(own.select(F.lit(0).alias("root"), F.col("root").alias("name")), _reversed(g.edges), depth).select("name", "distance"), "nearest")
+    near = cut(_walk(own.select(F.lit(0).alias("root"), F.col("root").alias("name")), _reversed(g.edge_files), depth).select("name", "distance"), "nearest")
     defined = g.symbols.select(F.col("name").alias("src"), "file_id").distinct()
     sites = g.edge_files.where("src <> dst").join(defined, ["src", "file_id"], "left_semi")
     sites = sites.join(near.where(F.col("distance") < depth).select(F.col("name").alias("dst"), F.col("distance").alias("at")), "dst")
@@ -121,7 +121,7 @@ def affected_callers(g: CodeGraph, own: DataFrame, depth: int) -> DataFrame:
             break
         ends = open_.select(F.col("src").alias("root")).union(open_.select(F.col("dst").alias("root"))).distinct()
         if frontier is None:
-            ways = cut(g.edges.join(near.select(F.col("name").alias("dst"), F.col("distance").alias("left")), "dst").where(F.col("left") < depth - 1), "ways")
+            ways = cut(g.edge_files.select("src", "dst").join(near.select(F.col("name").alias("dst"), F.col("distance").alias("left")), "dst").where(F.col("left") < depth - 1).distinct(), "ways")
             seen = frontier = cut(ends.select("root", F.col("root").alias("name"), F.lit(False).alias("is_root")), "ends")
         step = frontier.join(ends, "root", "left_semi").join(ways, F.col("name") == F.col("src")).where(F.col("left") < depth - k)
         step = step.select("root", F.col("dst").alias("name"), (F.col("left") == 0).alias("is_root")).distinct()
