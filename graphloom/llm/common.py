@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The most words of 64 bits that a filter of rows has, which all tasks hold; beyond that it lets more rows pass.
+FILTER_WORDS = 1 << 20
 #: Folders to delete at the end of each open temporary_tables(), the innermost last.
 _frames: list[list[str]] = []
 
@@ -89,10 +94,42 @@ def drop_scratch(df: DataFrame) -> None:
         _delete(fs, file.getParent())
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files behind what has been written: it does so once the driver's handles of them are collected."""
+def shuffles_held(spark: SparkSession) -> int:
+    """Shuffles whose files Spark keeps."""
+    return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+
+def free_shuffles(spark: SparkSession, upto: int | None = None, patience: float = 5.0) -> None:
+    """Let Spark delete the shuffle files behind what has been written: it does so once the driver's handles of them are collected.
+
+    With ``upto``, wait until that many shuffles are left: Spark deletes in the
+    background, after events of ended queries have reached all listeners.
+    """
     gc.collect()
+    if upto is not None:
+        with suppress(Py4JJavaError):  # not empty in that time
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(int(patience * 1000))
     spark.sparkContext._jvm.System.gc()
+    end = time.monotonic() + patience
+    while upto is not None and shuffles_held(spark) > upto and time.monotonic() < end:
+        time.sleep(0.1)
+
+
+def flag_among(rows: DataFrame, h: Column, few: DataFrame) -> DataFrame:
+    """Also ``among``: true for all rows whose hash h is in few (h long), and for one in 16 of the others as a rule.
+
+    Wide rows that an exact join with few rows would drop, or would not need to
+    meet, can so be told apart where they are read. The filter goes as
+    materialize() with ``outlives`` has it.
+    """
+    words = 1 << max(0, math.ceil(math.log2(max(1, few.count()) / 4)))
+    words = min(words, FILTER_WORDS)
+    word = lambda x: F.pmod(F.shiftrightunsigned(x, 6), F.lit(words))
+    bit = lambda x: x.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = few.groupBy(word(F.col("h")).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("__bits"))
+    bits = F.broadcast(materialize(bits, "filter", outlives=True))
+    met = rows.withColumn("__h", h).join(bits, word(F.col("__h")) == F.col("__word"), "left")
+    return met.select(*rows.columns, (F.bit_get(F.coalesce("__bits", F.lit(0).cast("long")), bit(F.col("__h"))) == 1).alias("among"))
 
 
 def pieces(batch: pa.RecordBatch, text: int, rows: int = 1000, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, task_count, temporary_tables, text_or_empty
+from .common import flag_among, free_shuffles, materialize, shuffles_held, task_count, temporary_tables, text_or_empty
 from .components import connected_components
 from .planes import bit_planes
 
@@ -228,20 +228,31 @@ def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = RADIUS
     """
     from . import near_copies
 
+    held = shuffles_held(docs.sparkSession)
     with temporary_tables(docs.sparkSession):
         if least is not None:
-            keep, repeated = near_copies.groups(docs, shingle, radius, least)
+            keep, found = near_copies.groups(docs, shingle, radius, least)
         else:
             found = materialize(near_duplicates(docs, shingle), "near-duplicates")
             first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")).alias("r")
             keep = found.groupBy("fp", "root").agg(first).groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.tx")
-            repeated = not found.groupBy("doc_id", "tx").count().where("count > 1").isEmpty()
         keep = materialize(keep.select(F.col("doc_id").alias("d"), F.col("tx").alias("t")), "kept", outlives=True)
-    rows = docs.select(F.struct("*").alias("r")).select("r", F.xxhash64(F.coalesce("r.text", F.lit(""))).alias("x"))
-    out = rows.join(keep, F.col("r.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")))
+        doubtful = materialize(_doubtful(found.select("doc_id", "tx"), keep), "doubtful")
+        repeated = not doubtful.where("n > 1").isEmpty()
+        rows = docs.select(F.struct("*").alias("r")).select("r", F.xxhash64(F.coalesce("r.text", F.lit(""))).alias("x"))
+        rows = flag_among(rows, F.xxhash64(F.col("r.doc_id").cast("long"), "x"), doubtful.select("h"))
+    free_shuffles(docs.sparkSession, held)  # texts may have been shuffled above
+    out = rows.where("among").join(keep, F.col("r.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("x") == F.col("t")))
     if repeated:
         out = out.dropDuplicates(["d", "t"])
-    return out.select("r.*")
+    return rows.where("not among").select("r.*").union(out.select("r.*"))
+
+
+def _doubtful(found: DataFrame, keep: DataFrame) -> DataFrame:
+    """(h, n) of the keys of rows that go, or of which there are several; all other rows of the table stay as they are. n: rows of that key."""
+    both = found.select("doc_id", "tx", F.lit(1).alias("n"), F.lit(0).alias("k")).union(keep.select("d", "t", F.lit(0), F.lit(1)))
+    of = both.groupBy("doc_id", "tx").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return of.where("n > 1 or k = 0").select(F.xxhash64("doc_id", "tx").alias("h"), "n")
 
 
 def digest(found: DataFrame) -> DataFrame:

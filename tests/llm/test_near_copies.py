@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import near_copies, planes, simhash
+from graphloom.llm import common, near_copies, planes, simhash
 
 
 def shingles(text):
@@ -120,3 +121,38 @@ def test_shifted_lanes_by_counting(d, share):
     x = np.bitwise_count(fps[d:] ^ fps[:-d]).astype(int)
     want = np.r_[(x.sum(1) <= 66) & (x[:, :2].sum(1) <= 34), np.zeros(d + 4, dtype=bool)] & live
     assert np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool).tolist() == want.tolist()
+
+
+def shuffled_bytes(spark):
+    """What all stages so far have written for others."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return sum(s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())))
+
+
+@pytest.mark.parametrize("least", [0.8, None])
+def test_texts_without_near_copies_are_not_shuffled(spark, make_docs, least):
+    r = random.Random(2)
+    rows = [(i, " ".join(f"{r.getrandbits(128):032x}" for _ in range(2000))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(2)] + [rows[5]]
+    df = simhash.materialize(make_docs(rows), "input")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        before = shuffled_bytes(spark)
+        kept = simhash.materialize(simhash.keep_representatives(df, shingle=5, radius=78, least=least), "kept-rows")
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(x["doc_id"] for x in kept.select("doc_id").collect()) == list(range(60))
+    assert moved < sum(len(t) for _, t in rows) * 0.7
+
+
+@pytest.mark.parametrize("most", [1 << 20, 4, 1])
+def test_filter_lets_all_rows_of_the_few_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FILTER_WORDS", most)  # with 1, most bits are set
+    rows = spark.range(2000).select("id", F.xxhash64("id").alias("x"), F.lit("among").alias("h"))
+    few = rows.where("id % 40 = 3").select(F.col("x").alias("h"))
+    got = {i: a for i, _, _, a in common.flag_among(rows, F.col("x"), few).collect()}
+    assert len(got) == 2000 and all(got[i] for i in range(3, 2000, 40))
+    assert most == 1 or not all(got.values())
+    none = common.flag_among(rows, F.col("x"), few.limit(0))
+    assert none.columns == [*rows.columns, "among"] and none.where("among").count() == 0 and none.count() == 2000
